@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .language import op3_language
+from .mixing import op10_mixing
 from .quality import op5_quality
 from .simhash import op8_simhash
 from .toxicity import op2_toxicity
@@ -16,5 +17,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_language": op3_language,
     "op5_quality": op5_quality,
     "op8_simhash": op8_simhash,
+    "op10_mixing": op10_mixing,
 }
 ORACLES: dict[str, str] = {}
