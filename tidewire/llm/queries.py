@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import maxscore
+from .forest import op9_forest
 from .language import op3_language
 from .mixing import op10_mixing
 from .quality import op5_quality
@@ -16,7 +18,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_toxicity": op2_toxicity,
     "op3_language": op3_language,
     "op5_quality": op5_quality,
+    "op6_maxscore": maxscore.op6_maxscore,
     "op8_simhash": op8_simhash,
+    "op9_forest": op9_forest,
     "op10_mixing": op10_mixing,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op6_maxscore": maxscore.ORACLE}
