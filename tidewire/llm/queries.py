@@ -10,11 +10,13 @@ from . import maxscore
 from .forest import op9_forest
 from .language import op3_language
 from .mixing import op10_mixing
+from .pieces import op1_pieces
 from .quality import op5_quality
 from .simhash import op8_simhash
 from .toxicity import op2_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_pieces": op1_pieces,
     "op2_toxicity": op2_toxicity,
     "op3_language": op3_language,
     "op5_quality": op5_quality,
