@@ -169,7 +169,8 @@ class Codec:
         for p, _, kind in self.model.pieces:
             self.bytes_of.append(bytes([int(p[3:-1], 16)]) if kind == BYTE else b"" if kind == CONTROL else " ⁇ ".encode() if kind == UNKNOWN else p.replace(MARK, " ").encode())
 
-    def _learn(self, chunks: list[str]) -> None:
+    def _learn(self, bare: list[str]) -> None:
+        chunks = [c if c[:1] == MARK else MARK + c for c in bare]
         groups = [chunks[a : a + 512] for a in range(0, len(chunks), 512)]
         for group, e in zip(groups, self.chunk.encode_batch(groups, is_pretokenized=True, add_special_tokens=False), strict=True):
             ids = np.array(e.ids, np.uint32)
@@ -181,9 +182,9 @@ class Codec:
                     right = self.judge.encode(c[1:].replace(MARK, " ")) if c != MARK else [self.judge.piece_to_id(MARK)]
                     right = np.array(right, np.uint32).tobytes()
                     if right != got[i]:
-                        self.odd.add(c)
+                        self.odd.add(c[1:] if c[1:2] != MARK else c)
                         got[i] = right
-            self.known.update(zip(group, got, strict=True))
+            self.known.update((c[1:] if c[1:2] != MARK else c, ids) for c, ids in zip(group, got, strict=True))
 
     def encode(self, texts: list[str]) -> tuple[list[np.ndarray], list[bool]]:
         """Ids of each text, and whether both libraries agree on them."""
@@ -199,7 +200,9 @@ class Codec:
             if not text:
                 out.append(np.zeros(0, np.uint32)), agree.append(True)
                 continue
-            chunks = self.find(MARK + text.replace(" ", MARK))
+            chunks = text.split(" ")  # a chunk is known without its marker, if it has one only
+            if "" in chunks or MARK in text:
+                chunks = [c[1:] if c[1:2] != MARK else c for c in self.find(MARK + text.replace(" ", MARK))]
             got = list(map(self.known.get, chunks))
             if None in got:
                 if len(self.known) > MOST_CHUNKS:
