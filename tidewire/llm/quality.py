@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .cuts import power_tables
 from .linear import sigmoid
 from .shared import crc_mod, owners, table, text_chunks
 from .toxicity import LOWER, labelled_texts, score
@@ -31,32 +32,9 @@ BITS = 20
 CLASS = np.arange(256, dtype=np.uint8)
 CLASS[[32, 9, 10, 11, 12, 13, 0]] = 0
 CLASS[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = 1
-BASE = 0x5851F42D4C957F2D
 REPEAT = np.uint64(0x1F3D5B79A8C6E402)
 
 
-def powers(base: int, n: int) -> np.ndarray:
-    """base^0 .. base^(n-1) modulo 2^64."""
-    out = np.ones(max(n, 1), np.uint64)
-    with np.errstate(over="ignore"):
-        done = 1
-        while done < n:
-            more = min(done, n - done)
-            out[done : done + more] = out[:more] * np.uint64(pow(base, done, 1 << 64))
-            done += more
-    return out
-
-
-_tables: list[np.ndarray] = []
-
-
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if not _tables or len(_tables[0]) < n:
-        size = max(n, 1 << 21)
-        _tables[:] = [powers(BASE, size), powers(pow(BASE, -1, 1 << 64), size)]
-    return _tables[0], _tables[1]
-
-
 def token_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(hash, text number) of every token in order."""
     if not len(data):
@@ -70,7 +48,7 @@ def token_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.
     ends = np.append(at[1:], len(data))
     real = kind[at] != 0
     at, ends = at[real], ends[real]
-    up, down = _powers(len(data) + 1)
+    up, down = power_tables(len(data) + 1)
     total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(LOWER[data].astype(np.uint64) * up[: len(data)], dtype=np.uint64)])
     h = (total[ends] - total[at]) * down[at]
     own = owner[at]

@@ -2,14 +2,15 @@
 
 Texts are encoded with the tokenizers library, an end id is appended to each, and a shard's ids, in ascending order of
 doc_id, become one bit-plane for each bit of the vocabulary, highest bit first; at each plane, ids with bit 0 go before
-those with bit 1, in order. A plane is stored in blocks of 2^18 bits, each compressed on its own, with the number of ones
+those with bit 1, in order. Ids are numbered by falling frequency in the shard first, so that high planes are nearly
+all zeros and compress well; the file holds the numbering. A plane is stored in blocks of 2^18 bits, each compressed on its own, with the number of ones
 before each block. So a file gives, without being unpacked whole: ``access`` (the id at a place), ``rank`` and
 ``count`` (occurrences of an id in a range), ``select`` (place of an id's n-th occurrence), ``document`` and ``decode``.
 
-Encoding splits a text by the byte-level pattern and encodes each different word once with the library, in a bounded
-table. The pattern always starts a word at a space that follows no white space, whatever stands before, so that texts
-are cut there first and each different cut is split once. Texts with special strings, or characters on which pattern
-engines may differ, are encoded by the library whole.
+The byte-level pattern starts a new word at every space that follows no white space, at a comma or full stop after an
+ASCII letter, and around a single line break, so that texts are cut there (on bytes, in numpy); each different cut, known
+by a 64-bit hash, is encoded once by the library, many to a call, and kept in a bounded table of a worker. Texts with
+special strings, or with a space at an end or after white space, are encoded by the library whole.
 
 Shards are ranges of doc_id: a range partition is written as one or more files of about ``shard_tokens`` ids. A file
 is written under a name of its own and then renamed, so that a task that runs again, or twice, does no harm. Files go
@@ -21,7 +22,7 @@ doc_ids are documents of their own; empty tables give no file and no rows. Extra
 
 from __future__ import annotations
 
-import re
+import json
 import struct
 import uuid
 import zlib
@@ -35,15 +36,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .shared import cut, new_path, plain_texts, table
+from .cuts import CutTable, split_at, threads
+from .shared import cut, new_path, table, text_chunks
 
-#: Fixed value: the pattern that splits a text before byte-level merges, for texts of the characters below only.
-PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+"
-#: Characters that all pattern engines put into the same classes.
-SAFE = re.compile("[\t-\r\x20-\x7e\xa1-\xac\xae-\xb1\xb4-\xb8\xba\xbb\xbf-ȳ–—‘-”•…]*")
 BLOCK_BITS = 1 << 18
 MAGIC = b"TWWM0001"
-MOST_WORDS = 700_000
 
 
 def default_tokenizer() -> str:
@@ -52,91 +49,147 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+LETTER = np.zeros(256, bool)
+LETTER[[*range(65, 91), *range(97, 123)]] = True
+VISIBLE = np.zeros(256, bool)
+VISIBLE[33:127] = True
+AFTER_BREAK = VISIBLE.copy()
+AFTER_BREAK[0xC3:0xE0] = True  # two-byte characters that are no white space
+
+
 class Encoder:
-    """Ids of texts. Made once in each worker."""
+    """Ids of texts. One for each tokenizer lives in a worker."""
 
     def __init__(self, data: str) -> None:
+        threads()
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(data)
         self.size = self.tokenizer.get_vocab_size()
         self.kind = np.uint16 if self.size <= 1 << 16 else np.uint32
-        self.known: dict[str, bytes] = {}
-        self.cuts: dict[str, bytes] = {}  # what follows a space
-        self.find = re.compile(PATTERN).findall
-        self.runs = re.compile(r"[\t-\r ] ").search
-        special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.special = re.compile("|".join(map(re.escape, special))).search if special else lambda text: None
-        import json
-
-        pre = json.loads(data).get("pre_tokenizer") or {}
-        self.plain = pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space") and not json.loads(data).get("normalizer")
-
-    def _learn(self, words: list[str]) -> None:
-        # many words in one call; the library says which word each id belongs to
-        groups = [words[a : a + 512] for a in range(0, len(words), 512)]
-        for group, e in zip(groups, self.tokenizer.encode_batch(groups, is_pretokenized=True, add_special_tokens=False), strict=True):
-            ids = np.array(e.ids, self.kind)
-            ends = np.searchsorted(np.array(e.word_ids), np.arange(len(group) + 1))
-            self.known.update((w, ids[s:t].tobytes()) for w, s, t in zip(group, ends[:-1], ends[1:], strict=True))
-
-    def encode(self, text: str) -> np.ndarray:
-        if not text:
-            return np.zeros(0, self.kind)
-        if not self.plain or SAFE.fullmatch(text) is None or self.special(text):
-            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.kind)
-        if self.runs(text):
-            return np.frombuffer(b"".join(self._words(self.find(text))), self.kind)
-        first, *cuts = text.split(" ")
-        got = list(map(self.cuts.get, cuts))
-        if None in got:
-            if len(self.cuts) > MOST_WORDS:
-                self.cuts.clear()
-            new = list({c for c in cuts if c not in self.cuts})
-            split = [self.find(" " + c) for c in new]
-            ids = iter(self._words([w for words in split for w in words]))
-            self.cuts.update((c, b"".join([next(ids) for _ in words])) for c, words in zip(new, split, strict=True))
-            got = [self.cuts[c] for c in cuts]
-        return np.frombuffer(b"".join([*self._words(self.find(first)), *got]), self.kind)
-
-    def _words(self, words: list[str]) -> list[bytes]:
-        got = list(map(self.known.get, words))
-        if None in got:
-            if len(self.known) > MOST_WORDS:
-                self.known.clear()
-            self._learn(list({w for w in words if w not in self.known}))
-            got = [self.known[w] for w in words]
-        return got
+        self.special = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        about = json.loads(data)
+        pre = about.get("pre_tokenizer") or {}
+        self.plain = pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space") and not about.get("normalizer")
+        self.starts = np.zeros(self.size, bool)  # ids whose bytes begin with a space
+        for token, i in self.tokenizer.get_vocab().items():
+            self.starts[i] = token[:1] == "Ġ"
+        self.table = CutTable(self._learn, self.kind)
+
+    def _learn(self, cuts: list[bytes]) -> tuple[list[np.ndarray], list[bool]]:
+        out: list[np.ndarray] = [np.zeros(0, self.kind)] * len(cuts)
+        # a cut that begins with a space has no other: it begins at the one id that begins with a space
+        spaced = [k for k, c in enumerate(cuts) if c[0] == 32]
+        groups = [spaced[a : a + 2048] for a in range(0, len(spaced), 2048)]
+        for group, e in zip(groups, self.tokenizer.encode_batch_fast([b"".join(cuts[k] for k in g).decode() for g in groups], add_special_tokens=False), strict=True):
+            for k, ids in zip(group, split_at(np.array(e.ids, self.kind), self.starts, len(group)), strict=True):
+                out[k] = ids
+        bare = [k for k, c in enumerate(cuts) if c[0] != 32]
+        for k, e in zip(bare, self.tokenizer.encode_batch_fast([cuts[k].decode() for k in bare], add_special_tokens=False), strict=True):
+            out[k] = np.array(e.ids, self.kind)
+        return out, [False] * len(out)
+
+    def encode(self, column: pa.Array) -> list[np.ndarray]:
+        """Ids of each text."""
+        out: list[np.ndarray] = []
+        for a, b, data, offsets in text_chunks(column):
+            out += self._chunk(data, offsets) if self.plain else self._whole(data, offsets, range(b - a))
+        return out
+
+    def _whole(self, data: np.ndarray, offsets: np.ndarray, rows) -> list[np.ndarray]:
+        texts = [data[offsets[k] : offsets[k + 1]].tobytes().decode() for k in rows]
+        return [np.array(e.ids, self.kind) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _chunk(self, data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
+        n, size = len(offsets) - 1, len(data)
+        empty = offsets[1:] == offsets[:-1]
+        if not size:
+            return [np.zeros(0, self.kind)] * n
+        begins = data == 32
+        spaces = np.flatnonzero(begins)
+        # texts that are encoded whole
+        odd = ~empty & ((data[np.minimum(offsets[:-1], size - 1)] == 32) | (data[offsets[1:] - 1] == 32))
+        one, two, three = (data[np.maximum(spaces - k, 0)] for k in (1, 2, 3))
+        white = (one < 33) | (one == 127) | ((two == 0xC2) & ((one == 0xA0) | (one == 0x85)))
+        white |= ((three == 0xE2) & ((two == 0x80) | (two == 0x81)) & ((one <= 0x8A) | (one == 0xA8) | (one == 0xA9) | (one == 0xAF) | (one == 0x9F))) | ((three == 0xE3) & (two == 0x80) & (one == 0x80)) | ((three == 0xE1) & (two == 0x9A) & (one == 0x80))
+        odd[np.searchsorted(offsets, spaces[white], side="right") - 1] = True
+        raw = data.tobytes() if self.special else b""
+        for s in self.special:
+            place = raw.find(s)
+            while place >= 0:
+                odd[np.searchsorted(offsets, place, side="right") - 1] = True
+                place = raw.find(s, place + 1)
+        # cuts
+        begins[offsets[:-1][~empty]] = True
+        stops = np.flatnonzero((data[1:] == 44) | (data[1:] == 46)) + 1
+        begins[stops[LETTER[data[stops - 1]]]] = True
+        breaks = np.flatnonzero(data[1:-1] == 10) + 1
+        breaks = breaks[VISIBLE[data[breaks - 1]] & AFTER_BREAK[data[breaks + 1]]]
+        begins[breaks] = True
+        begins[breaks + 1] = True
+        at = np.flatnonzero(begins)
+        ends = np.append(at[1:], size)
+        piece = np.searchsorted(at, offsets)  # the first cut of each text
+        if odd.any():
+            keep = ~np.repeat(odd, np.diff(piece))
+            at, ends = at[keep], ends[keep]
+            piece = np.concatenate([[0], np.cumsum(np.where(odd, 0, np.diff(piece)))])
+        ids, close, _ = self.table.encode(data, at, ends)
+        cut = np.concatenate([[0], close])[piece]
+        out = [ids[s:e] for s, e in zip(cut[:-1], cut[1:], strict=True)]
+        rows = np.flatnonzero(odd)
+        for k, own in zip(rows, self._whole(data, offsets, rows), strict=True):
+            out[k] = own
+        return out
+
+
+_encoders: dict[str, Encoder] = {}
+
+
+def worker_encoder(data: str) -> Encoder:
+    if data not in _encoders:
+        _encoders.clear()
+        _encoders[data] = Encoder(data)
+    return _encoders[data]
 
 
 # --- the file format -----------------------------------------------------------------------------------------------
-# MAGIC, then the length of the head and the head: ids, documents, planes (unsigned 64-bit each); for each plane the
-# number of zeros, and for each of its blocks the ones before it and the place of its bytes; documents' ids and first
+# MAGIC, then the length of the head and the head: ids, documents, different ids (unsigned 64-bit each), the different
+# ids by falling frequency; for each plane the number of zeros, and for each of its blocks the ones before it and the place of its bytes; documents' ids and first
 # places. Then the blocks, each a zstandard frame.
 
 
-def build(ids: np.ndarray, doc_ids: np.ndarray, starts: np.ndarray, planes: int) -> bytes:
+def build(ids: np.ndarray, doc_ids: np.ndarray, starts: np.ndarray) -> bytes:
     """A file's bytes. ``starts``: the first place of each document."""
     press = zstandard.ZstdCompressor(level=1)
-    now, bodies, heads, at = ids, [], [], 0
-    for plane in range(planes - 1, -1, -1):
-        bit = (now >> now.dtype.type(plane) & now.dtype.type(1)).astype(bool)
+    counts = np.bincount(ids)
+    alphabet = np.argsort(-counts, kind="stable")[: np.count_nonzero(counts)]
+    number = np.zeros(len(counts), ids.dtype)
+    number[alphabet] = np.arange(len(alphabet))
+    now, bodies, heads, at = number[ids], [], [], 0
+    for plane in range(planes_of(len(alphabet)) - 1, -1, -1):
+        bit = (now & now.dtype.type(1 << plane)) != 0
         packed = np.packbits(bit, bitorder="little")
         step = BLOCK_BITS // 8
-        blocks = [packed[a : a + step].tobytes() for a in range(0, len(packed), step)]
-        ones = np.array([int(np.bitwise_count(np.frombuffer(b, np.uint8)).sum()) for b in blocks], np.uint64)
+        blocks = [packed[a : a + step] for a in range(0, len(packed), step)]
+        ones = np.array([0, *(int(np.bitwise_count(b).sum(dtype=np.int64)) for b in blocks)], np.int64)
         places = []
         for b in blocks:
-            body = press.compress(b)
+            body = press.compress(b.tobytes())
             places.append(at)
             at += len(body)
             bodies.append(body)
-        now = np.concatenate([now[~bit], now[bit]])
-        heads.append(struct.pack("<Q", len(ids) - int(ones.sum())) + np.concatenate([[0], np.cumsum(ones)[:-1]]).astype("<u8").tobytes()[: 8 * len(blocks)] + np.array([*places, at], "<u8").tobytes())
-    head = struct.pack("<QQQ", len(ids), len(doc_ids), planes) + b"".join(heads) + doc_ids.astype("<i8").tobytes() + starts.astype("<u8").tobytes()
+        high = now[np.flatnonzero(bit)]  # faster than a mask, whose branches can't be foretold
+        now = np.concatenate([now[np.flatnonzero(~bit)], high])
+        heads.append(struct.pack("<Q", len(ids) - len(high)) + np.cumsum(ones)[: len(blocks)].astype("<u8").tobytes() + np.array([*places, at], "<u8").tobytes())
+    head = struct.pack("<QQQ", len(ids), len(doc_ids), len(alphabet)) + alphabet.astype("<u4").tobytes() + b"".join(heads) + doc_ids.astype("<i8").tobytes() + starts.astype("<u8").tobytes()
     return MAGIC + struct.pack("<Q", len(head)) + head + b"".join(bodies)
 
 
+def planes_of(different: int) -> int:
+    return max(1, (different - 1).bit_length())
+
+
 class WaveletFile:
     """Reads one file. ``data`` may be a memory map; blocks are unpacked when asked for, the last few are kept."""
 
@@ -146,8 +199,11 @@ class WaveletFile:
             raise ValueError("not a token file")
         size = struct.unpack_from("<Q", self.data, 8)[0]
         self.body = 16 + size
-        self.n, docs, self.planes = struct.unpack_from("<QQQ", self.data, 16)
-        at, blocks = 40, -(-self.n // BLOCK_BITS)
+        self.n, docs, different = struct.unpack_from("<QQQ", self.data, 16)
+        self.planes = planes_of(different)
+        self.alphabet = np.frombuffer(self.data, "<u4", different, 40)
+        self.number = {int(t): k for k, t in enumerate(self.alphabet)}
+        at, blocks = 40 + 4 * different, -(-self.n // BLOCK_BITS)
         self.zeros, self.before, self.places = [], [], []
         for _ in range(self.planes):
             self.zeros.append(struct.unpack_from("<Q", self.data, at)[0])
@@ -198,19 +254,19 @@ class WaveletFile:
             bit = self._ones(p, i + 1) - ones
             value = value << 1 | bit
             i = self.zeros[p] + ones if bit else i - ones
-        return value
+        return int(self.alphabet[value])
 
-    def _range(self, token: int, a: int, b: int) -> tuple[int, int]:
+    def _range(self, number: int, a: int, b: int) -> tuple[int, int]:
         for p in range(self.planes):
             x, y = self._ones(p, a), self._ones(p, b)
-            a, b = (self.zeros[p] + x, self.zeros[p] + y) if token >> (self.planes - 1 - p) & 1 else (a - x, b - y)
+            a, b = (self.zeros[p] + x, self.zeros[p] + y) if number >> (self.planes - 1 - p) & 1 else (a - x, b - y)
         return a, b
 
     def count(self, token: int, a: int = 0, b: int | None = None) -> int:
         """Occurrences of an id at places a to b - 1."""
-        if token < 0 or token >> self.planes:
+        if token not in self.number:
             return 0
-        x, y = self._range(token, max(0, a), self.n if b is None else min(b, self.n))
+        x, y = self._range(self.number[token], max(0, a), self.n if b is None else min(b, self.n))
         return max(0, y - x)
 
     def rank(self, token: int, i: int) -> int:
@@ -220,9 +276,10 @@ class WaveletFile:
         """Place of the n-th occurrence, from 0."""
         if not 0 <= n < self.count(token):
             raise IndexError(n)
-        at = self._range(token, 0, self.n)[0] + n
+        number = self.number[token]
+        at = self._range(number, 0, self.n)[0] + n
         for p in range(self.planes - 1, -1, -1):
-            bit = token >> (self.planes - 1 - p) & 1
+            bit = number >> (self.planes - 1 - p) & 1
             at = self._find(p, at - self.zeros[p] if bit else at, bit)
         return at
 
@@ -237,10 +294,10 @@ class WaveletFile:
             raw = b"".join(self.unpack.decompress(bytes(self.data[self.body + a : self.body + b])) for a, b in zip(self.places[p][:-1], self.places[p][1:], strict=True))
             bit = np.unpackbits(np.frombuffer(raw, np.uint8), count=self.n, bitorder="little").view(bool)
             above = np.empty(self.n, kind)
-            above[~bit] = values[: self.zeros[p]]
-            above[bit] = values[self.zeros[p] :] | kind(1 << (self.planes - 1 - p))
+            above[np.flatnonzero(~bit)] = values[: self.zeros[p]]
+            above[np.flatnonzero(bit)] = values[self.zeros[p] :] | kind(1 << (self.planes - 1 - p))
             values = above
-        return values
+        return self.alphabet[values]
 
     def document(self, k: int) -> np.ndarray:
         end = self.starts[k + 1] if k + 1 < len(self.starts) else self.n
@@ -262,17 +319,17 @@ def write(spark: SparkSession, docs: DataFrame, folder: str, tokenizer_path: str
         data = f.read()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(data)
-        part, number = TaskContext.get().partitionId(), 0
-        planes = max(1, (max(encoder.size - 1, end_id)).bit_length())
-        end = np.array([end_id], encoder.kind)
+        encoder = worker_encoder(data)
+        part, number, held = TaskContext.get().partitionId(), 0, 0
+        kind = encoder.kind if end_id < 1 << 16 else np.uint32
+        end = np.array([end_id], kind)
         ids: list[np.ndarray] = []
         doc_ids: list[int] = []
         lengths: list[int] = []
 
         def flush() -> pa.RecordBatch:
             starts = np.concatenate([[0], np.cumsum(lengths)[:-1]])
-            body = build(np.concatenate(ids), np.array(doc_ids, np.int64), starts, planes)
+            body = build(np.concatenate(ids).astype(kind, copy=False), np.array(doc_ids, np.int64), starts)
             path = f"{folder}/part-{part:06d}-{number:05d}.wm"
             store, at = _store(path)
             store.create_dir(at.rpartition("/")[0], recursive=True)
@@ -282,18 +339,16 @@ def write(spark: SparkSession, docs: DataFrame, folder: str, tokenizer_path: str
             row = {"part": [part], "number": [number], "path": [path], "first_doc": [doc_ids[0]], "n_tokens": [sum(lengths)], "n_docs": [len(doc_ids)]}
             return pa.RecordBatch.from_pydict(row, pa.schema([("part", pa.int32()), ("number", pa.int32()), ("path", pa.string()), ("first_doc", pa.int64()), ("n_tokens", pa.int64()), ("n_docs", pa.int64())]))
 
-        held = 0
         for batch in batches:
-            texts = plain_texts(batch.column(1))
-            for doc, text in zip(batch.column(0).to_numpy(), texts, strict=True):
-                got = encoder.encode(text.as_py())
-                ids += [got, end]
-                doc_ids.append(int(doc)), lengths.append(len(got) + 1)
-                held += len(got) + 1
-                if held >= shard_tokens:
-                    yield flush()
-                    number, held = number + 1, 0
-                    ids.clear(), doc_ids.clear(), lengths.clear()
+            for a in range(0, batch.num_rows, 1024):
+                for doc, got in zip(batch.column(0).slice(a, 1024).to_pylist(), encoder.encode(batch.column(1).slice(a, 1024)), strict=True):
+                    ids += [got, end]
+                    doc_ids.append(doc), lengths.append(len(got) + 1)
+                    held += len(got) + 1
+                    if held >= shard_tokens:
+                        yield flush()
+                        number, held = number + 1, 0
+                        ids.clear(), doc_ids.clear(), lengths.clear()
         if doc_ids:
             yield flush()
 
