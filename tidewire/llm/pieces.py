@@ -5,10 +5,11 @@ unigram model keeps its pieces' scores; a BPE model's merges are all splits of a
 piece's score. Batches are encoded by the library's threads.
 
 Where no piece has the marker after another character, nothing is ever merged across the start of a word; texts are
-then cut before each run of markers, and each different chunk is encoded once and kept in a bounded table. Every chunk
-that enters the table is encoded by the sentencepiece library too (``verify``): ``parity`` says whether all chunks of a
-text agreed. Where they don't, the ids of the sentencepiece library are used. ``round_trip`` says whether decoding the
-ids gave the text again; byte fallback makes that hold for models that don't normalise.
+then cut at their spaces, and each different word is encoded once and kept in a bounded table of a worker. Texts with
+runs of spaces, spaces at an end or markers are encoded whole. Every word that enters the table, and every whole text,
+is encoded by the sentencepiece library too (``verify``): ``parity`` says whether all of a text agreed. Where it
+doesn't, the ids of the sentencepiece library are used. ``round_trip`` says whether decoding the ids gave the text
+again; byte fallback makes that hold for models that don't normalise, but for markers, which decode to spaces.
 
 Defined results: null and empty texts have no ids; specials in a text are ordinary text; repeated rows are encoded
 each; a null doc_id is kept. Extra columns are kept out. The model file is read on the driver and sent along with the
@@ -29,14 +30,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import plain_texts, table
+from .cuts import CutTable, ragged, split_at, threads
+from .shared import plain_texts, table, text_chunks
 
 MARK = "▁"
 #: Kinds of pieces in the model file, and kinds of models: fixed values of the format.
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
 MOST_MODEL_BYTES = 32 << 20
-MOST_CHUNKS = 200_000
 
 
 def default_model() -> str:
@@ -154,69 +155,101 @@ class Codec:
     """Encodes and decodes batches. Made once in each worker."""
 
     def __init__(self, data: bytes, verify: bool = True) -> None:
+        threads()
         self.model = ModelFile.parse(data)
         self.whole, self.chunk = rebuild(self.model), rebuild(self.model, whole=False)
         self.plain = self.model.words_stand_alone() and not self.model.charsmap and not self.model.squeeze and self.model.dummy_prefix
-        self.known: dict[str, bytes] = {}
-        self.odd: set[str] = set()
-        self.find = re.compile(f"{MARK}+[^{MARK}]*").findall
+        self.starts = np.array([p[:1] == MARK for p, _, _ in self.model.pieces])
+        self.table = CutTable(self._learn, np.uint32)
         self.judge = None
         if verify:
             import sentencepiece
 
             self.judge = sentencepiece.SentencePieceProcessor(model_proto=data)
-        self.bytes_of = []
-        for p, _, kind in self.model.pieces:
-            self.bytes_of.append(bytes([int(p[3:-1], 16)]) if kind == BYTE else b"" if kind == CONTROL else " ⁇ ".encode() if kind == UNKNOWN else p.replace(MARK, " ").encode())
-
-    def _learn(self, bare: list[str]) -> None:
-        chunks = [c if c[:1] == MARK else MARK + c for c in bare]
-        groups = [chunks[a : a + 512] for a in range(0, len(chunks), 512)]
-        for group, e in zip(groups, self.chunk.encode_batch(groups, is_pretokenized=True, add_special_tokens=False), strict=True):
-            ids = np.array(e.ids, np.uint32)
-            ends = np.searchsorted(np.array(e.word_ids), np.arange(len(group) + 1))
-            got = [ids[s:t].tobytes() for s, t in zip(ends[:-1], ends[1:], strict=True)]
-            # a chunk begins with the marker, which the other library puts before a text by itself
-            if self.judge is not None and self.judge.encode("".join(group)[1:].replace(MARK, " ")) != e.ids:
-                for i, c in enumerate(group):
-                    right = self.judge.encode(c[1:].replace(MARK, " ")) if c != MARK else [self.judge.piece_to_id(MARK)]
-                    right = np.array(right, np.uint32).tobytes()
-                    if right != got[i]:
-                        self.odd.add(c[1:] if c[1:2] != MARK else c)
-                        got[i] = right
-            self.known.update((c[1:] if c[1:2] != MARK else c, ids) for c, ids in zip(group, got, strict=True))
-
-    def encode(self, texts: list[str]) -> tuple[list[np.ndarray], list[bool]]:
+        texts = [bytes([int(p[3:-1], 16)]) if kind == BYTE else b"" if kind == CONTROL else " ⁇ ".encode() if kind == UNKNOWN else p.replace(MARK, " ").encode() for p, _, kind in self.model.pieces]
+        self.length = np.array([len(t) for t in texts], np.int64)
+        self.first, self.flat = np.cumsum(self.length) - self.length, np.frombuffer(b"".join(texts), np.uint8)
+
+    def _learn(self, words: list[bytes]) -> tuple[list[np.ndarray], list[bool]]:
+        """Ids of words without their marker, and where the libraries differ."""
+        out: list[np.ndarray] = []
+        odd = [False] * len(words)
+        for a in range(0, len(words), 2048):
+            group = [w.decode() for w in words[a : a + 2048]]
+            ids = np.array(self.chunk.encode_batch_fast([MARK + MARK.join(group)], add_special_tokens=False)[0].ids, np.uint32)
+            got = split_at(ids, self.starts, len(group))  # each word begins at the one id that begins with the marker
+            if self.judge is not None and self.judge.encode(" ".join(group)) != ids.tolist():
+                for k, w in enumerate(group):
+                    right = np.array(self.judge.encode(w), np.uint32)
+                    odd[a + k] = not np.array_equal(got[k], right)
+                    got[k] = right
+            out += got
+        return out, odd
+
+    def _whole(self, texts: list[str]) -> tuple[list[np.ndarray], list[bool]]:
+        ids = [np.array(e.ids, np.uint32) for e in self.whole.encode_batch_fast(texts, add_special_tokens=False)]
+        if self.judge is None:
+            return ids, [False] * len(ids)
+        right = [np.array(i, np.uint32) for i in self.judge.encode(texts, num_threads=1)]
+        return right, [not np.array_equal(a, b) for a, b in zip(ids, right, strict=True)]
+
+    def encode(self, column: pa.Array) -> tuple[list[np.ndarray], list[bool]]:
         """Ids of each text, and whether both libraries agree on them."""
-        if not self.plain:
-            ids = [np.array(e.ids, np.uint32) for e in self.whole.encode_batch(texts, add_special_tokens=False)]
-            if self.judge is None:
-                return ids, [True] * len(ids)
-            right = self.judge.encode(texts, num_threads=1)
-            agree = [a.tolist() == b for a, b in zip(ids, right, strict=True)]
-            return [a if ok else np.array(b, np.uint32) for a, b, ok in zip(ids, right, agree, strict=True)], agree
-        out, agree = [], []
-        for text in texts:
-            if not text:
-                out.append(np.zeros(0, np.uint32)), agree.append(True)
-                continue
-            chunks = text.split(" ")  # a chunk is known without its marker, if it has one only
-            if "" in chunks or MARK in text:
-                chunks = [c[1:] if c[1:2] != MARK else c for c in self.find(MARK + text.replace(" ", MARK))]
-            got = list(map(self.known.get, chunks))
-            if None in got:
-                if len(self.known) > MOST_CHUNKS:
-                    self.known.clear(), self.odd.clear()
-                self._learn(list({c for c in chunks if c not in self.known}))
-                got = [self.known[c] for c in chunks]
-            out.append(np.frombuffer(b"".join(got), np.uint32))
-            agree.append(not self.odd or self.odd.isdisjoint(chunks))
+        out: list[np.ndarray] = []
+        agree: list[bool] = []
+        for a, b, data, offsets in text_chunks(column):
+            n, size = b - a, len(data)
+            empty = offsets[1:] == offsets[:-1]
+            spaces = np.flatnonzero(data == 32)
+            odd = np.full(n, not self.plain) & ~empty
+            if self.plain and size:
+                odd = ~empty & ((data[np.minimum(offsets[:-1], size - 1)] == 32) | (data[offsets[1:] - 1] == 32))
+                odd[np.searchsorted(offsets, spaces[data[np.maximum(spaces - 1, 0)] == 32], side="right") - 1] = True
+                raw = data.tobytes()
+                place = raw.find(mark := MARK.encode())
+                while place >= 0:
+                    odd[np.searchsorted(offsets, place, side="right") - 1] = True
+                    place = raw.find(mark, place + 1)
+            first = np.zeros(size + 1, bool)
+            first[offsets[:-1][~empty]] = True
+            begins = first.copy()
+            begins[spaces + 1] = True
+            at = np.flatnonzero(begins[:size])
+            # a word ends before the space that leads to the next one, a text's last word where the next text begins
+            ends = np.append(np.where(first[at[1:]], at[1:], at[1:] - 1), size)[: len(at)]
+            piece = np.searchsorted(at, offsets)
+            keep = ~np.repeat(odd, np.diff(piece))
+            piece = np.concatenate([[0], np.cumsum(np.where(odd, 0, np.diff(piece)))])
+            ids, close, differ = self.table.encode(data, at[keep], ends[keep])
+            cut = np.concatenate([[0], close])[piece]
+            here = [ids[s:e] for s, e in zip(cut[:-1], cut[1:], strict=True)]
+            wrong = np.concatenate([[0], np.cumsum(differ)])[piece]
+            fine = (wrong[1:] == wrong[:-1]).tolist()
+            rows = np.flatnonzero(odd)
+            for k, got, bad in zip(rows, *self._whole([data[offsets[k] : offsets[k + 1]].tobytes().decode() for k in rows]), strict=True):
+                here[k], fine[k] = got, not bad
+            out += here
+            agree += fine
         return out, agree
 
-    def decode(self, ids: np.ndarray) -> bytes:
-        """The text's bytes."""
-        text = b"".join(map(self.bytes_of.__getitem__, ids.tolist()))
-        return text[1:] if self.model.dummy_prefix and text[:1] == b" " else text
+    def decode(self, ids: list[np.ndarray]) -> list[bytes]:
+        """The texts' bytes."""
+        flat = np.concatenate([np.zeros(0, np.int64), *ids]).astype(np.int64)
+        position, close = ragged(self.first[flat], self.length[flat])
+        raw = self.flat[position].tobytes()
+        ends = np.concatenate([[0], close])[np.cumsum([0, *(len(i) for i in ids)])].tolist()
+        lead = self.model.dummy_prefix
+        return [raw[s + 1 : e] if lead and raw[s : s + 1] == b" " and e > s else raw[s:e] for s, e in zip(ends[:-1], ends[1:], strict=True)]
+
+
+_codecs: dict[tuple[bytes, bool], Codec] = {}
+
+
+def worker_codec(data: bytes, verify: bool) -> Codec:
+    if (data, verify) not in _codecs:
+        _codecs.clear()
+        _codecs[data, verify] = Codec(data, verify)
+    return _codecs[data, verify]
 
 
 def encode(docs: DataFrame, model_path: str | None = None, verify: bool = True, digest: bool = False) -> DataFrame:
@@ -228,18 +261,18 @@ def encode(docs: DataFrame, model_path: str | None = None, verify: bool = True,
         data = f.read()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Codec(data, verify)
+        codec = worker_codec(data, verify)
         for batch in batches:
             texts = plain_texts(batch.column(1))
-            for a in range(0, len(texts), 500):
-                some = texts.slice(a, 500).to_pylist()
+            for a in range(0, len(texts), 512):
+                some = texts.slice(a, 512)
                 ids, parity = codec.encode(some)
-                back = [codec.decode(i) == t.encode() for i, t in zip(ids, some, strict=True)]
+                back = [d == t.as_buffer().to_pybytes() for d, t in zip(codec.decode(ids), some, strict=True)]
                 if digest:
                     what = pa.array([zlib.crc32(i.astype("<u4").tobytes()) for i in ids], pa.int64())
                 else:
                     what = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(i) for i in ids])]), pa.int32()), pa.array(np.concatenate([np.zeros(0, np.uint32), *ids]).astype(np.int32), pa.int32()))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, 500), what, pa.array([len(i) for i in ids], pa.int64()), pa.array(parity), pa.array(back)], names=["doc_id", "ids_crc32" if digest else "ids", "n_tokens", "parity", "round_trip"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, 512), what, pa.array([len(i) for i in ids], pa.int64()), pa.array(parity), pa.array(back)], names=["doc_id", "ids_crc32" if digest else "ids", "n_tokens", "parity", "round_trip"])
 
     what = "ids_crc32 long" if digest else "ids array<int>"
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, f"doc_id long, {what}, n_tokens long, parity boolean, round_trip boolean")
@@ -253,7 +286,9 @@ def decode(encoded: DataFrame, model_path: str | None = None) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = Codec(data, verify=False)
         for batch in batches:
-            texts = [None if ids is None else codec.decode(np.array(ids, np.int64)).decode("utf-8", "replace") for ids in batch.column(1).to_pylist()]
+            rows = batch.column(1).to_pylist()
+            back = codec.decode([np.array(ids or [], np.int64) for ids in rows])
+            texts = [None if ids is None else t.decode("utf-8", "replace") for ids, t in zip(rows, back, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=["doc_id", "text"])
 
     return encoded.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("ids").cast("array<int>").alias("ids")).mapInArrow(run, "doc_id long, text string")
