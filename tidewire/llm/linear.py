@@ -11,7 +11,7 @@ def sigmoid(z: np.ndarray) -> np.ndarray:
 
 def fit_sparse_logistic(indptr: np.ndarray, indices: np.ndarray, values: np.ndarray, y: np.ndarray, width: int, l2: float, steps: int = 120, rate: float = 0.05) -> tuple[np.ndarray, float]:
     """Logistic regression with an L2 penalty over CSR rows, by full-batch Adam; deterministic."""
-    rows = np.repeat(np.arange(len(y)), np.diff(indptr))
+    rows = np.repeat(np.arange(len(y), dtype=np.int32), np.diff(indptr))
     weight = np.where(y == 1, len(y) / (2 * max(1, y.sum())), len(y) / (2 * max(1, (1 - y).sum())))
     w, bias = np.zeros(width + 1), 0.0
     m, v = np.zeros(width + 1), np.zeros(width + 1)

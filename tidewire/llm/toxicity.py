@@ -72,23 +72,32 @@ def fit(texts: list[str | None], labels: np.ndarray, min_df: int = 4, min_ratio:
     if not (0 < y.sum() < len(y)):
         return ToxicityModel(np.zeros(width, np.float32), 0.0, trained=False)
     column = pa.array(texts, pa.large_string())
-    presence: list[np.ndarray] = []  # sorted (row << BITS | cell) of a run of rows
+
+    def presence() -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(row, cell) of a run of texts, each pair once, sorted. Gone through twice, so that it is never held whole."""
+        for a, _, data, offsets in text_chunks(column, 1 << 19):
+            keys = [own.astype(np.int64) << BITS | cell for cell, own in gram_cells(data, offsets)]
+            keys = np.unique(np.concatenate([np.zeros(0, np.int64), *keys]))
+            yield (keys >> BITS) + a, (keys & (width - 1)).astype(np.int32)
+
     p, q = np.zeros(width), np.zeros(width)
-    for a, b, data, offsets in text_chunks(column):
-        keys = np.unique(np.concatenate([np.zeros(0, np.int64)] + [(own.astype(np.int64) + a) << BITS | cell for cell, own in gram_cells(data, offsets)]))
-        toxic = y[keys >> BITS] == 1
-        p += np.bincount(keys[toxic] & (width - 1), minlength=width)
-        q += np.bincount(keys[~toxic] & (width - 1), minlength=width)
-        presence.append(keys)
+    for row, cell in presence():
+        toxic = y[row] == 1
+        p += np.bincount(cell[toxic], minlength=width)
+        q += np.bincount(cell[~toxic], minlength=width)
     # shares of documents that have the cell
     ratio = np.log((p + 1) / (y.sum() + 2)) - np.log((q + 1) / ((1 - y).sum() + 2))
     chosen = np.flatnonzero((p + q >= min_df) & (np.abs(ratio) >= min_ratio))
     number = np.full(width, -1, np.int32)
     number[chosen] = np.arange(len(chosen))
-    keys = np.concatenate([k[number[k & (width - 1)] >= 0] for k in presence]) if presence else np.zeros(0, np.int64)
-    indptr = np.concatenate([[0], np.cumsum(np.bincount(keys >> BITS, minlength=len(y)))])
-    indices = number[keys & (width - 1)]
-    w, bias = fit_sparse_logistic(indptr, indices, ratio[chosen][indices], y, len(chosen), l2)
+    kept, count = [np.zeros(0, np.int32)], np.zeros(len(y), np.int64)
+    for row, cell in presence():
+        used = number[cell] >= 0
+        kept.append(number[cell[used]])
+        count += np.bincount(row[used], minlength=len(y))
+    indices = np.concatenate(kept)
+    indptr = np.concatenate([[0], np.cumsum(count)])
+    w, bias = fit_sparse_logistic(indptr, indices, ratio[chosen].astype(np.float32)[indices], y, len(chosen), l2)
     weights = np.zeros(width, np.float32)
     weights[chosen] = w * ratio[chosen]
     return ToxicityModel(weights, bias)
