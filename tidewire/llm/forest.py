@@ -2,12 +2,12 @@
 priority queue, then exact reranking of the leaves' candidates.
 
 A tree splits a shard's rows at the median of their projections on a random direction, down to leaves of ``leaf``
-rows; every row is in one leaf of every tree. A query walks all trees through one queue, keyed by the smallest margin
-to the splits on the way (a far side's key is minus its distance to the plane), until the leaves taken hold ``reach``
-different rows of the shard; their distances are computed in double precision on the original vectors.
+rows; every row is in one leaf of every tree. A query walks all trees through one queue, keyed by the largest distance
+to a plane that was crossed on the way, until the leaves taken hold enough different rows of the shard; their distances
+are computed in double precision on the original vectors.
 
-Neighbours in high dimensions hardly differ in distance, so ``reach`` is a share of the shard: 0.6 finds over nine in
-ten of the true neighbours on uniform noise, more where vectors cluster.
+Neighbours in high dimensions hardly differ in distance, so enough is a share of the shard, ``reach``, and ``LEAST``
+rows at least: 0.6 finds over nine in ten of the true neighbours on uniform noise, more where vectors cluster.
 
 Defined results: vectors that are null, zero or hold null or non-finite components take no part; vectors of another
 length than the query's are no candidates for it; repeated vec_ids are rows of their own, but a query's own vec_id is
@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .shared import table
 from .vectors import search, usable
 
-LEAF, TREES, REACH = 64, 8, 0.6
+LEAF, TREES, REACH, LEAST = 64, 8, 0.6, 1024
 
 
 def build(ids: np.ndarray, x: np.ndarray, trees: int = TREES, leaf: int = LEAF, seed: int = 5) -> dict:
@@ -59,7 +59,7 @@ def build(ids: np.ndarray, x: np.ndarray, trees: int = TREES, leaf: int = LEAF,
 def nearest(index: dict, qids: np.ndarray, q: np.ndarray, k: int, reach: float = REACH) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """For each query (row, ids, distances) of the nearest found."""
     ids, x, nodes = index["ids"], index["x"], index["nodes"]
-    want = max(k + 1, int(np.ceil(reach * len(ids))))
+    want = min(len(ids), max(k + 1, LEAST, int(np.ceil(reach * len(ids)))))
     projected = q @ index["directions"].T if len(index["directions"]) else np.zeros((len(q), 0))
     for row in range(len(q)):
         p = projected[row].tolist()
