@@ -141,24 +141,26 @@ def train(docs: DataFrame, mod: int = 4, remainder: int = 2, bound: int = 800) -
     return fit([r["text"] for r in rows], [r["lang"] for r in rows])
 
 
-def predict(docs: DataFrame, model: LanguageModel, keep: list[str] | None = None) -> DataFrame:
-    """``keep`` (doc_id by default), ``lang_pred`` and ``lang_score``."""
+def predict(docs: DataFrame, model: LanguageModel, keep: list[str] | None = None, names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """``keep`` (doc_id by default), the language and its score, named ``names``."""
     keep = keep or ["doc_id"]
-    out = docs.select(*[F.col(c) for c in keep], F.col("text").alias("__text"))
+    kept = docs.select(*[F.col(f"`{c}`") for c in keep])
+    out = docs.select(*[F.col(f"`{c}`") for c in keep], F.col("text").alias("__text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             lang, score = model.predict(batch.column(len(keep)))
-            yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in range(len(keep))], pa.array(lang, pa.string()), pa.array(score, pa.float64())], names=[*keep, "lang_pred", "lang_score"])
+            yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in range(len(keep))], pa.array(lang, pa.string()), pa.array(score, pa.float64())], names=[*keep, *names])
 
-    return out.mapInArrow(run, docs.select(*keep).schema.add("lang_pred", "string").add("lang_score", "double"))
+    return out.mapInArrow(run, kept.schema.add(names[0], "string").add(names[1], "double"))
 
 
 def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return predict(docs, train(docs)).select("doc_id", (crc_mod("doc_id", 4) == 2).alias("held_out"), "lang_pred", F.col("lang_score").alias("score"))
+    return predict(docs, train(docs)).select("doc_id", (crc_mod("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score")
 
 
 def keep_known(spark: SparkSession, docs: DataFrame, sf_dir: str, least: float = 0.4) -> DataFrame:
     """Pipeline stage: documents without a letter go, and those whose language scores under ``least``."""
-    return predict(docs, train(docs), keep=docs.columns).where(f"lang_pred <> 'und' and lang_score >= {least}").select(*docs.columns)
+    found = predict(docs, train(docs), docs.columns, ("__lang", "__sure"))
+    return found.where(f"__lang <> 'und' and __sure >= {least}").drop("__lang", "__sure")

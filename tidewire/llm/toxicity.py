@@ -118,16 +118,16 @@ def train(docs: DataFrame, labels: DataFrame, mod: int = 4, remainder: int = 2,
     return fit(texts, y)
 
 
-def score(docs: DataFrame, model, id_column: str = "doc_id", keep: list[str] | None = None) -> DataFrame:
-    """``keep`` (the id by default) and a column ``score``. ``model`` has a method scores(Arrow column)."""
-    keep = keep or [id_column]
-    out = docs.select(*[F.col(c) for c in keep], F.col("text").alias("__text"))
-    schema = docs.select(*keep).schema.add("score", "double")
+def score(docs: DataFrame, model, keep: list[str] | None = None, name: str = "score") -> DataFrame:
+    """``keep`` (doc_id by default) and the score, named ``name``. ``model`` has a method scores(Arrow column)."""
+    keep = keep or ["doc_id"]
+    out = docs.select(*[F.col(f"`{c}`") for c in keep], F.col("text").alias("__text"))
+    schema = docs.select(*[F.col(f"`{c}`") for c in keep]).schema.add(name, "double")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             columns = [batch.column(i) for i in range(len(keep))]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(model.scores(batch.column(len(keep))), pa.float64())], names=[*keep, "score"])
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(model.scores(batch.column(len(keep))), pa.float64())], names=[*keep, name])
 
     return out.mapInArrow(run, schema)
 
@@ -141,4 +141,4 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def keep_clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: documents with a score of 0.3 or more go."""
     model = train(docs, table(spark, sf_dir, "labels"))
-    return score(docs, model, keep=docs.columns).where("score < 0.3").select(*docs.columns)
+    return score(docs, model, docs.columns, "__toxicity").where("__toxicity < 0.3").drop("__toxicity")
