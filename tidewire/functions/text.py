@@ -60,7 +60,7 @@ def clean_text(c: Column | str, compat: bool = True, exact: bool = False) -> Col
     text = _text(c)
     low = F.lower(text)
     marked = F.translate(F.regexp_replace(low, f"([{ACCENTED}])", "$1 "), ACCENTED, BASES) if compat else F.translate(low, ACCENTED, BASES)
-    native = F.trim(F.regexp_replace(F.regexp_replace(marked, "[^\\p{L}\\p{N}_ \\t\\n\\x0B\\f\\r]", " "), WHITE, " "))
+    native = F.trim(F.regexp_replace(marked, "[^\\p{L}\\p{N}_]+", " "))  # white space is no word character either
     return _with_exact(text, native, _clean_exact) if exact and compat else native
 
 
