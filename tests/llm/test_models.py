@@ -81,7 +81,7 @@ def test_marginals_are_exact():
         known = [model.nodes[f] for f in features if f in model.nodes]
         own.append([exp(sum(k[v] for k in known)) for v in (0, 1)])
     weight = {
-        labels: prod(own[i][v] for i, v in enumerate(labels)) * prod(model.edges[extract.joint(n)][labels[n.parent]][labels[i]] for i, n in enumerate(nodes) if i)
+        labels: prod(own[i][v] for i, v in enumerate(labels)) * prod(model.edges[extract.joint(n, nodes[n.parent])][labels[n.parent]][labels[i]] for i, n in enumerate(nodes) if i)
         for labels in product((0, 1), repeat=len(nodes))
     }
     total = sum(weight.values())

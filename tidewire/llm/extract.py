@@ -3,7 +3,7 @@
 A page is parsed into a tree of elements and blocks of text. Every node has a hidden label, content (1) or not (0). A
 node's features (kind of element, words in its class and id, length and link share of its text, place among its
 siblings) give it a potential; parent and child are joined by a potential that depends on whether the child is a
-sectioning element. Sum-product messages, leaves to root and back, give each node's marginal, exactly; blocks whose
+sectioning element or lies right under the body. Sum-product messages, leaves to root and back, give each node's marginal, exactly; blocks whose
 marginal is over one half are the page's main text.
 
 The potentials are trained from labelled pages: by default pages made here from a grammar of layouts (``labelled``),
@@ -56,7 +56,7 @@ HINTS = {
     "text": "article content post entry story main text body prose page-content",
 }
 HINT_OF = {w: kind for kind, words in HINTS.items() for w in words.split()}
-TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
+TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?>(?:[^>\"']+|\"[^\"]*\"|'[^']*')*)(?=>|\Z)|[^>]*)(?:>|\Z)", re.S)
 NAMES = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))", re.I)
 HIDDEN = re.compile(r"(?:^|\s)hidden(?=[\s=/]|$)|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
 POWERS = (0.05, 0.1, 0.2, 0.35, 0.6, 1.0)
@@ -181,9 +181,13 @@ def describe(nodes: list[Node]) -> list[list[str]]:
     return out
 
 
-def joint(child: Node) -> str:
+def joint(child: Node, parent: Node) -> str:
     """What the potential between a child and its parent depends on."""
-    return "block" if not child.tag else "section" if child.tag in SECTIONS or child.hints else "part"
+    if not child.tag:
+        return "block"
+    if child.tag in SECTIONS or child.hints:
+        return "section"
+    return "top" if parent.tag in ("#", "html", "body") else "part"
 
 
 class TreeModel:
@@ -209,7 +213,7 @@ class TreeModel:
         # up: a node's belief so far is its own potential times its children's messages
         up0, up1, msg = own0[:], own1[:], [(1.0, 1.0)] * n
         for i in range(n - 1, 0, -1):
-            (e00, e01), (e10, e11) = self.edges.get(joint(nodes[i]), ((1.0, 1.0), (1.0, 1.0)))
+            (e00, e01), (e10, e11) = self.edges.get(joint(nodes[i], nodes[nodes[i].parent]), ((1.0, 1.0), (1.0, 1.0)))
             m0, m1 = e00 * up0[i] + e01 * up1[i], e10 * up0[i] + e11 * up1[i]
             s = m0 + m1
             m0, m1 = m0 / s, m1 / s
@@ -223,7 +227,7 @@ class TreeModel:
         for i in range(1, n):
             p = nodes[i].parent
             x, y = all0[p] / max(msg[i][0], 1e-300), all1[p] / max(msg[i][1], 1e-300)
-            (e00, e01), (e10, e11) = self.edges.get(joint(nodes[i]), ((1.0, 1.0), (1.0, 1.0)))
+            (e00, e01), (e10, e11) = self.edges.get(joint(nodes[i], nodes[nodes[i].parent]), ((1.0, 1.0), (1.0, 1.0)))
             d0, d1 = up0[i] * (x * e00 + y * e10), up1[i] * (x * e01 + y * e11)
             s = d0 + d1
             all0[i], all1[i] = d0 / s, d1 / s
@@ -249,7 +253,7 @@ def train(pages: list[str]) -> TreeModel:
         for i, n in enumerate(nodes):
             total[n.label] += 1
             if i:
-                edges[joint(n)][nodes[n.parent].label][n.label] += 1
+                edges[joint(n, nodes[n.parent])][nodes[n.parent].label][n.label] += 1
         for n, names in zip(nodes, describe(nodes), strict=True):
             for f in names:
                 features[f][n.label] += 1
@@ -275,8 +279,8 @@ def right_blocks(model: TreeModel, nodes: list[Node]) -> int:
 # --- labelled pages ------------------------------------------------------------------------------------------------
 
 
-def labelled(count: int = 300, seed: int = 3) -> list[str]:
-    """Pages of many layouts whose parts' labels are known: an article within any of the usual containers, among
+def labelled(count: int = 400, seed: int = 3) -> list[str]:
+    """Pages of many layouts whose parts' labels are known: an article within any of the usual containers, or none, among
     menus, headers, footers, sidebars, notices, adverts, forms and readers' comments."""
     r = random.Random(seed)
     letters = "etaoinshrdlu"
@@ -327,15 +331,17 @@ def labelled(count: int = 300, seed: int = 3) -> list[str]:
     pages = []
     for _ in range(count):
         inside = f"<h1>{words(2, 12)}</h1>" * (r.random() < 0.8) + "".join(piece() if r.random() > 0.06 else boiler() for _ in range(r.randint(1, 14)))
-        container = r.choice([*["article"] * 5, "main", "div", "section"])
-        hint = name("text") if container in ("div", "section") or r.random() < 0.3 else ""
-        body = f'<{container} data-main="1"{hint}>{inside}</{container}>'
+        container = r.choice([*["article"] * 5, "main", "div", "section", *["plain", "body"] * 2])
+        hint = name("text") if container in ("div", "section") or container != "plain" and r.random() < 0.3 else ""
+        tag = "div" if container == "plain" else container
+        body = inside if container == "body" else f'<{tag} data-main="1"{hint}>{inside}</{tag}>'
         if r.random() < 0.3:
             body = f"<div{r.choice(['', ' class=container', ' id=wrap'])}>{boiler() * (r.random() < 0.5)}{body}{boiler() * (r.random() < 0.5)}</div>"
         foot = f'<footer data-main="0">&copy; {words(1, 5)} &middot; {words(2, 30)}</footer>' if r.random() < 0.85 else ""
         before = "".join(boiler() for _ in range(r.randint(0, 3)))
         after = "".join(boiler() for _ in range(r.randint(0, 2)))
-        pages.append(f"<!DOCTYPE html><html><head><title>{words(1, 6)}</title></head><body>{before}{body}{after}{foot}</body></html>")
+        main = ' data-main="1"' * (container == "body")
+        pages.append(f"<!DOCTYPE html><html><head><title>{words(1, 6)}</title></head><body{main}>{before}{body}{after}{foot}</body></html>")
     return pages
 
 
