@@ -115,14 +115,14 @@ def split(level: DataFrame, seed: int) -> DataFrame:
 
 def tree(spark: SparkSession, quotas: DataFrame, shards: int, seed: int) -> DataFrame:
     """(number, shard, count): ``quotas`` has number (of a source) and quota."""
-    root = quotas.groupBy(F.lit(0).alias("g")).agg(F.array_sort(F.collect_list(F.struct("number", "quota"))).alias("all"))
-    numbers = root.select(F.col("all.number").alias("numbers"))
+    placed = quotas.withColumn("pos", F.row_number().over(W.orderBy("number")) - 1)
+    root = placed.groupBy(F.lit(0).alias("g")).agg(F.array_sort(F.collect_list(F.struct("pos", "quota"))).alias("all"))
     level = root.select(F.lit(1).cast("long").alias("node"), F.lit(shards).cast("long").alias("shards"), F.expr("transform(all, q -> q.quota)").alias("quotas"))
     for _ in range(max(0, (shards - 1).bit_length())):
         level = cut(spark, split(level, seed), "tree")
-    leaves = level.withColumn("shard", F.row_number().over(W.partitionBy(F.lit(0)).orderBy("node")) - 1)
-    counts = leaves.join(F.broadcast(numbers)).select("shard", F.explode(F.arrays_zip("numbers", "quotas")).alias("q"))  # numbers is one row
-    return counts.select(F.col("q.numbers").alias("number"), F.col("shard").cast("int").alias("shard"), F.col("q.quotas").alias("count"))
+    leaves = level.withColumn("shard", F.row_number().over(W.orderBy("node")) - 1)  # one row for each output shard
+    counts = leaves.select("shard", F.posexplode("quotas").alias("pos", "count"))
+    return counts.join(placed.select("pos", "number"), "pos").select("number", "shard", "count")
 
 
 def plan(spark: SparkSession, sized: DataFrame, share: float = 1.5, most: int = 2, block_words: int = 1 << 16, most_blocks: int = 4096, shard_blocks: int = 64, most_shards: int = 1024, seed: int = 17) -> tuple[DataFrame, DataFrame]:
