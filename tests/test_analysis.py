@@ -99,3 +99,33 @@ def test_service(spark, data, tmp_path):
     assert service.page(1, 7)["total_pages"] == 5 and service.health()["data_loaded"]
     assert service.search("the")["resultados"] >= 0
     assert len(open(service.export_csv(str(tmp_path / "e.csv"))).readline().split(",")) == len(ANALYZED.names)
+
+
+def test_http(spark, data, tmp_path):
+    import json
+    import threading
+    from urllib.error import HTTPError
+    from urllib.request import urlopen
+
+    from tidewire.plans.http import make_server
+
+    articles = articles_from_documents(spark.read.parquet(f"{data}/documents.parquet").limit(30))
+    service = Service(spark, f"file://{tmp_path}/t.parquet")
+    server = make_server(service, lambda: articles)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    base = f"http://127.0.0.1:{server.server_address[1]}"
+
+    def get(path):
+        try:
+            with urlopen(base + path) as r:
+                return r.status, r.read()
+        except HTTPError as e:
+            return e.code, e.read()
+
+    assert get("/api/stats")[0] == 404 and get("/health")[0] == 200
+    service.analyze(articles, Config(num_topics=2, num_clusters=2, inits=1))
+    assert json.loads(get("/api/stats")[1])["total_noticias"] == 30
+    assert len(json.loads(get("/api/noticias?page=2&per_page=7")[1])["noticias"]) == 7
+    assert [get(p)[0] for p in ("/api/search?q=the", "/api/search?q=", "/api/search?q=a(", "/nowhere", "/api/noticias?page=x")] == [200, 400, 400, 404, 500]
+    assert get("/api/export/csv")[1].startswith(b"titulo,")
+    server.shutdown()

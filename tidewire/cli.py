@@ -1,4 +1,4 @@
-"""Command line: collect, analyze, full or schedule."""
+"""Command line: collect, analyze, full, schedule or serve."""
 
 from __future__ import annotations
 
@@ -53,10 +53,12 @@ def schedule(spark: SparkSession, urls: list[str], path: str, out: str, collect_
 
 def main(argv: list[str] | None = None) -> None:
     parser = argparse.ArgumentParser(prog="tidewire", description=__doc__)
-    parser.add_argument("command", choices=["collect", "analyze", "full", "schedule"], nargs="?", default="schedule")
+    parser.add_argument("command", choices=["collect", "analyze", "full", "schedule", "serve"], nargs="?", default="schedule")
     parser.add_argument("--feeds", nargs="*", default=[])
     parser.add_argument("--articles", default="data/articles.parquet")
     parser.add_argument("--out", default="data/analyzed.parquet")
+    parser.add_argument("--host", default="127.0.0.1")
+    parser.add_argument("--port", type=int, default=8000)
     args = parser.parse_args(argv)
     logging.basicConfig(level=logging.INFO, format="[%(asctime)s] %(message)s")
     spark = SparkSession.builder.appName("tidewire").getOrCreate()
@@ -64,6 +66,11 @@ def main(argv: list[str] | None = None) -> None:
         log.info("articles: %s", collect(spark, args.feeds, args.articles))
     if args.command in ("analyze", "full"):
         log.info("%s", run_analysis(spark, args.articles, args.out))
+    if args.command == "serve":
+        from .plans.http import make_server
+        from .plans.service import Service
+
+        make_server(Service(spark, args.out), lambda: spark.read.parquet(args.articles), args.host, args.port).serve_forever()
     if args.command == "schedule":
         schedule(spark, args.feeds, args.articles, args.out)
 
