@@ -1,6 +1,6 @@
 import re
 import unicodedata
-from datetime import datetime
+from datetime import UTC, datetime
 
 import pytest
 from hypothesis import given, settings
@@ -61,7 +61,7 @@ def test_dates(spark):
     assert got == [int(datetime.fromisoformat(d).timestamp()) if d else None for d in ("2025-09-30T22:16:34+00:00", "2025-10-01T01:02:03+00:00", None, None)]
     iso = values(spark, cases, text.iso_date)
     assert iso[:2] == ["2025-09-30T16:16:34-06:00", "2025-10-01T01:02:03+00:00"]
-    assert abs((datetime.fromisoformat(iso[2]) - datetime.utcnow()).total_seconds()) < 300
+    assert abs((datetime.fromisoformat(iso[2]) - datetime.now(UTC).replace(tzinfo=None)).total_seconds()) < 300
 
 
 YES = ["menores de edad", "menor costo", "una nia y un nio", "15 años", "12años", "3 meses", "de 2 mes", "infantes", "huérfanas", "recién nacida", "bebé", "NNA", "nna"]

@@ -19,6 +19,10 @@ from pyspark.sql.types import StringType
 #: Small Latin letters that are a base letter and one mark.
 ACCENTED = "".join(chr(c) for c in range(0xC0, 0x180) if chr(c).islower() and len(unicodedata.normalize("NFKD", chr(c))) == 2 and unicodedata.combining(unicodedata.normalize("NFKD", chr(c))[1]))
 BASES = "".join(unicodedata.normalize("NFKD", c)[0] for c in ACCENTED)
+#: The same letters as a class that a pattern engine tests by range, letters in the range that have no mark taken out.
+_SPAN = f"{min(ACCENTED)}-{max(ACCENTED)}"
+_BARE = "".join(chr(c) for c in range(ord(min(ACCENTED)), ord(max(ACCENTED))) if chr(c) not in ACCENTED and chr(c) == chr(c).lower())
+ACCENTED_CLASS = f"[{_SPAN}&&[^{_BARE}]]"
 #: Characters that the native forms treat as full NFKD would.
 _PLAIN = "".join(chr(c) for c in range(0xA1, 0x180) if unicodedata.normalize("NFKD", chr(c)) == chr(c))
 NATIVE = f"^[\\x00-\\x7F{ACCENTED}{ACCENTED.upper()}{re.escape(_PLAIN)}‐–—‘’“”•€]*$".replace("İ", "")
@@ -59,7 +63,7 @@ def clean_text(c: Column | str, compat: bool = True, exact: bool = False) -> Col
     are folded first."""
     text = _text(c)
     low = F.lower(text)
-    marked = F.translate(F.regexp_replace(low, f"([{ACCENTED}])", "$1 "), ACCENTED, BASES) if compat else F.translate(low, ACCENTED, BASES)
+    marked = F.translate(F.regexp_replace(low, f"({ACCENTED_CLASS})", "$1 "), ACCENTED, BASES) if compat else F.translate(low, ACCENTED, BASES)
     native = F.trim(F.regexp_replace(marked, "[^\\p{L}\\p{N}_]+", " "))  # white space is no word character either
     return _with_exact(text, native, _clean_exact) if exact and compat else native
 

@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct, Normalizer
 from pyspark.ml.linalg import Vectors
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import clean_text
@@ -23,10 +24,13 @@ def tokens(clean: Column | str) -> Column:
 
 def terms_of(clean: Column | str) -> Column:
     """Tokens, then pairs of neighbours joined by a space."""
-    one = tokens(clean)
-    n = F.greatest(F.size(one) - 1, F.lit(0))
-    pairs = F.zip_with(F.slice(one, F.lit(1), n), F.slice(one, F.lit(2), n), lambda a, b: F.concat_ws(" ", a, b))
-    return F.concat(one, pairs)
+
+    def both(one: Column) -> Column:
+        n = F.greatest(F.size(one) - 1, F.lit(0))
+        return F.concat(one, F.zip_with(F.slice(one, F.lit(1), n), F.slice(one, F.lit(2), n), lambda a, b: F.concat(a, F.lit(" "), b)))
+
+    # a lambda's variable is evaluated once, an expression wherever it stands
+    return F.transform(F.array(tokens(clean)), both)[0]
 
 
 def term_counts(docs: DataFrame, clean: str = "contenido_limpio") -> DataFrame:
@@ -55,8 +59,8 @@ def idf(df: Column, n_docs: int) -> Column:
 def tfidf(counts: DataFrame, vocab: DataFrame) -> DataFrame:
     """(doc_idx, term, tf, weight), weights of length 1 for each document. ``vocab`` has a bounded number of rows."""
     raw = counts.join(F.broadcast(vocab.select("term", "idf")), "term").select("doc_idx", "term", "tf", (F.col("tf") * F.col("idf")).alias("raw"))
-    norms = raw.groupBy("doc_idx").agg(F.sqrt(F.sum(F.col("raw") * F.col("raw"))).alias("norm"))
-    return raw.join(norms, "doc_idx").select("doc_idx", "term", "tf", (F.col("raw") / F.col("norm")).alias("weight"))
+    norm = F.sqrt(F.sum(F.col("raw") * F.col("raw")).over(W.partitionBy("doc_idx")))  # a document's terms, one shuffle
+    return raw.select("doc_idx", "term", "tf", (F.col("raw") / norm).alias("weight"))
 
 
 class Tfidf:
