@@ -114,13 +114,37 @@ def test_simhash_links_and_hot_cells(spark):
     base = [int(x) for x in r.integers(0, 1 << 62, 12)]
     values = {b ^ sum(1 << k for k in set(r.integers(0, 64, n).tolist())) for b in base for n in range(5) for _ in range(25)}
     rows = list(enumerate(sorted(values)))
-    df = spark.createDataFrame([(i, int(np.array(f, np.uint64).view(np.int64))) for i, f in rows], "doc_id long, fp long")
+    df = spark.createDataFrame([(i, int(np.array(f, np.uint64).view(np.int64))) for i, f in rows], "doc_id long, fp long").withColumn("print", F.lit(0))
     want = plain_components(rows)
     for tile in (4096, 8):
         roots = {x["node"]: x["root"] for x in simhash.components(spark, simhash.links(spark, df, tile=tile)).collect()}
         assert all(roots.get(d, d) == want[d, f] for d, f in rows)
 
 
+def test_several_prints(spark, data):
+    """Any of the fingerprints links; the first is the contract's."""
+    from tidewire.llm import simhash
+
+    docs = spark.read.parquet(f"{data}/documents.parquet")
+    fps = {r["doc_id"]: [int(x) & (1 << 64) - 1 for x in r["fps"]] for r in simhash.fingerprints(docs, prints=3).collect()}
+    for r in docs.collect():
+        assert fps[r["doc_id"]][0] == plain_fingerprint(r["text"])
+    parent = {d: d for d in fps}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a in fps:
+        for b in fps:
+            if a < b and any((x ^ y).bit_count() <= 3 for x, y in zip(fps[a], fps[b], strict=True)):
+                low, high = sorted((find(a), find(b)))
+                parent[high] = low
+    got = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(spark, docs, prints=3).collect()}
+    assert got == {d: find(d) for d in fps}
+
+
 def test_embedding_bounds_hamming():
     from tidewire.llm import simhash
 
