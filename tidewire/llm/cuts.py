@@ -34,7 +34,7 @@ _tables: list[np.ndarray] = []
 
 def power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the base and of its inverse, n at least; those of a long text are not kept."""
-    kept = 1 << 21
+    kept = 1 << 20
     if n > kept + 1:
         return powers(BASE, n), powers(pow(BASE, -1, 1 << 64), n)
     if not _tables:
@@ -67,7 +67,7 @@ class CutTable:
     """``learn`` gets cuts as bytes and gives the ids of each, and whether it is odd. A table of over ``most`` cuts is
     begun anew, which changes no result."""
 
-    def __init__(self, learn: Callable[[list[bytes]], tuple[list[np.ndarray], list[bool]]], kind: type, most: int = 1_500_000) -> None:
+    def __init__(self, learn: Callable[[list[bytes]], tuple[list[np.ndarray], list[bool]]], kind: type, most: int = 500_000) -> None:
         self.learn, self.kind, self.most = learn, kind, most
         self._forget()
 

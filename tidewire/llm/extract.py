@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import plain_texts, table
+from .shared import lean, plain_texts, table
 
 #: Fixed values of the language: elements without an end tag, with raw text, within a line, and without page text.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -364,7 +364,7 @@ def extract(pages: DataFrame, model: TreeModel | None = None) -> DataFrame:
                 texts = [model.extract(t.as_py()) for t in plain_texts(batch.column(2).slice(a, 500))]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, 500), batch.column(1).slice(a, 500), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
-    return pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html")).mapInArrow(run, "page_id long, url string, text string, n_chars long")
+    return pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html")).mapInArrow(lean(run), "page_id long, url string, text string, n_chars long")
 
 
 def op4_extract(spark: SparkSession, sf_dir: str) -> DataFrame:

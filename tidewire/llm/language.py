@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .linear import fit_linear_svm, sigmoid
-from .shared import bounded_sample, crc_mod, owners, plain_texts, table, text_chunks
+from .shared import bounded_sample, crc_mod, lean, owners, plain_texts, table, text_chunks
 from .toxicity import LOWER
 
 #: Families of language codes.
@@ -152,7 +152,7 @@ def predict(docs: DataFrame, model: LanguageModel, keep: list[str] | None = None
             lang, score = model.predict(batch.column(len(keep)))
             yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in range(len(keep))], pa.array(lang, pa.string()), pa.array(score, pa.float64())], names=[*keep, *names])
 
-    return out.mapInArrow(run, kept.schema.add(names[0], "string").add(names[1], "double"))
+    return out.mapInArrow(lean(run), kept.schema.add(names[0], "string").add(names[1], "double"))
 
 
 def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .cuts import CutTable, ragged, split_at, threads
-from .shared import plain_texts, table, text_chunks
+from .shared import lean, plain_texts, table, text_chunks
 
 MARK = "▁"
 #: Kinds of pieces in the model file, and kinds of models: fixed values of the format.
@@ -275,7 +275,7 @@ def encode(docs: DataFrame, model_path: str | None = None, verify: bool = True,
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, 512), what, pa.array([len(i) for i in ids], pa.int64()), pa.array(parity), pa.array(back)], names=["doc_id", "ids_crc32" if digest else "ids", "n_tokens", "parity", "round_trip"])
 
     what = "ids_crc32 long" if digest else "ids array<int>"
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, f"doc_id long, {what}, n_tokens long, parity boolean, round_trip boolean")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(lean(run), f"doc_id long, {what}, n_tokens long, parity boolean, round_trip boolean")
 
 
 def decode(encoded: DataFrame, model_path: str | None = None) -> DataFrame:
@@ -291,7 +291,7 @@ def decode(encoded: DataFrame, model_path: str | None = None) -> DataFrame:
             texts = [None if ids is None else t.decode("utf-8", "replace") for ids, t in zip(rows, back, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=["doc_id", "text"])
 
-    return encoded.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("ids").cast("array<int>").alias("ids")).mapInArrow(run, "doc_id long, text string")
+    return encoded.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("ids").cast("array<int>").alias("ids")).mapInArrow(lean(run), "doc_id long, text string")
 
 
 def op1_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:

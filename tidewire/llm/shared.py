@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -80,7 +82,7 @@ def plain_texts(column: pa.Array) -> pa.LargeStringArray:
     return pc.fill_null(column.cast(pa.large_string()), "")
 
 
-def text_chunks(column: pa.Array, most: int = 1 << 21) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def text_chunks(column: pa.Array, most: int = 1 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Cuts a batch of texts into runs of whole texts with about ``most`` bytes (a longer text stands alone):
     (first row, row after the last, bytes, offsets from 0)."""
     texts = plain_texts(column)
@@ -97,6 +99,23 @@ def text_chunks(column: pa.Array, most: int = 1 << 21) -> Iterator[tuple[int, in
         a = b
 
 
+def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The same function over batches, for mapInArrow; at a task's end the worker, which lives on for later tasks, gives
+    the memory that it no longer uses back to the system."""
+
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        release()
+
+    return wrapped
+
+
+def release() -> None:
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # there is no such call outside glibc
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def owners(offsets: np.ndarray) -> np.ndarray:
     """For each byte, the number of the text that it is in."""
     return np.repeat(np.arange(len(offsets) - 1, dtype=np.int32), np.diff(offsets))

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import WORD, cut, plain_texts, table
+from .shared import WORD, cut, lean, plain_texts, table
 
 RADIUS = 3
 GROUPS = 7
@@ -84,7 +84,7 @@ def fingerprints(docs: DataFrame, size: int = 3, prints: int = 1) -> DataFrame:
             fps = pa.ListArray.from_arrays(pa.array(np.arange(len(found) + 1) * prints, pa.int32()), pa.array(flat, pa.int64()))
             yield pa.RecordBatch.from_arrays([batch.column(0), fps], names=["doc_id", "fps"])
 
-    return docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, fps array<long>")
+    return docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(lean(run), "doc_id long, fps array<long>")
 
 
 # --- the embedding and its grid ------------------------------------------------------------------------------------
@@ -184,7 +184,7 @@ def links(spark: SparkSession, each: DataFrame, tile: int = 4096) -> DataFrame:
     else:
         keys = keys.select("key", F.lit(0).cast("long").alias("part"), "fp", "doc_id")
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return keys.repartition(n, "key", "part").sortWithinPartitions("key", "part").mapInArrow(_links, "a long, b long")
+    return keys.repartition(n, "key", "part").sortWithinPartitions("key", "part").mapInArrow(lean(_links), "a long, b long")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, size: int = 3, prints: int = 1) -> DataFrame:

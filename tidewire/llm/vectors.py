@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .shared import cut
+from .shared import cut, lean
 
 
 def usable(embeddings: DataFrame, allow_zero: bool = True) -> DataFrame:
@@ -69,7 +69,7 @@ def pack(spark: SparkSession, vectors: DataFrame, size: int, salt: str, count: i
     slots = max(1, -(-count // size))
     dealt = vectors.select(F.pmod(F.xxhash64("vec_id", F.lit(salt)), F.lit(slots)).cast("int").alias("slot"), F.size("v").alias("width"), "vec_id", "v")
     n = min(slots, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    return dealt.repartition(n, "slot").sortWithinPartitions("slot", "width", "vec_id").mapInArrow(_pack, "slot int, width int, ids binary, x binary")
+    return dealt.repartition(n, "slot").sortWithinPartitions("slot", "width", "vec_id").mapInArrow(lean(_pack), "slot int, width int, ids binary, x binary")
 
 
 def search(spark: SparkSession, vectors: DataFrame, every: int, k: int, index: Callable[[np.ndarray, np.ndarray], dict], best: Callable[[dict, np.ndarray, np.ndarray, int], Iterator[tuple]], kind: str, largest: bool, shard_rows: int, block_rows: int) -> DataFrame:
@@ -103,6 +103,6 @@ def search(spark: SparkSession, vectors: DataFrame, every: int, k: int, index: C
                     who.append(np.full(len(ids_found), qids[row])), vec.append(ids_found), score.append(scores)
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(who)), pa.array(np.concatenate(vec)), pa.array(np.concatenate(score).astype(np.int64 if kind == "long" else np.float64), kind_of)], names=["query_id", "vec_id", "score"])
 
-    found = pairs.mapInArrow(run, f"query_id long, vec_id long, score {kind}")
+    found = pairs.mapInArrow(lean(run), f"query_id long, vec_id long, score {kind}")
     order = W.partitionBy("query_id").orderBy(F.col("score").desc() if largest else F.col("score").asc(), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

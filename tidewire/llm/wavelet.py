@@ -37,7 +37,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .cuts import CutTable, split_at, threads
-from .shared import cut, new_path, table, text_chunks
+from .shared import cut, lean, new_path, table, text_chunks
 
 BLOCK_BITS = 1 << 18
 MAGIC = b"TWWM0001"
@@ -355,7 +355,7 @@ def write(spark: SparkSession, docs: DataFrame, folder: str, tokenizer_path: str
     rows = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     files = rows.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
-    return cut(spark, files.mapInArrow(run, "part int, number int, path string, first_doc long, n_tokens long, n_docs long"), "token-files")
+    return cut(spark, files.mapInArrow(lean(run), "part int, number int, path string, first_doc long, n_tokens long, n_docs long"), "token-files")
 
 
 def read(files: DataFrame) -> DataFrame:
@@ -377,7 +377,7 @@ def read(files: DataFrame) -> DataFrame:
 
     spark = files.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return placed.repartition(n, "path").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return placed.repartition(n, "path").mapInArrow(lean(run), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def op7_wavelet(spark: SparkSession, sf_dir: str) -> DataFrame:
