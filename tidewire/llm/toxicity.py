@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .linear import fit_sparse_logistic, sigmoid
-from .shared import bounded_sample, crc_mod, owners, table, text_chunks
+from .shared import bounded_sample, crc_mod, lean, owners, table, text_chunks
 
 BITS = 20
 ORDERS = (3, 4, 5, 6)
@@ -73,28 +73,32 @@ def fit(texts: list[str | None], labels: np.ndarray, min_df: int = 4, min_ratio:
         return ToxicityModel(np.zeros(width, np.float32), 0.0, trained=False)
     column = pa.array(texts, pa.large_string())
 
-    def presence() -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """(row, cell) of a run of texts, each pair once, sorted. Gone through twice, so that it is never held whole."""
-        for a, _, data, offsets in text_chunks(column, 1 << 19):
-            keys = [own.astype(np.int64) << BITS | cell for cell, own in gram_cells(data, offsets)]
-            keys = np.unique(np.concatenate([np.zeros(0, np.int64), *keys]))
-            yield (keys >> BITS) + a, (keys & (width - 1)).astype(np.int32)
+    def presence() -> Iterator[tuple[int, np.ndarray]]:
+        """(row, its different cells). Gone through twice, so that they are never held whole."""
+        mark = np.zeros(width, bool)
+        for a, b, data, offsets in text_chunks(column, 1 << 19):
+            grams = list(gram_cells(data, offsets))
+            ends = [np.searchsorted(own, np.arange(b - a + 1)) for _, own in grams]
+            for row in range(b - a):
+                for (cell, _), end in zip(grams, ends, strict=True):
+                    mark[cell[end[row] : end[row + 1]]] = True
+                cells = np.flatnonzero(mark)
+                mark[cells] = False
+                yield a + row, cells
 
     p, q = np.zeros(width), np.zeros(width)
-    for row, cell in presence():
-        toxic = y[row] == 1
-        p += np.bincount(cell[toxic], minlength=width)
-        q += np.bincount(cell[~toxic], minlength=width)
+    for row, cells in presence():
+        (p if y[row] == 1 else q)[cells] += 1
     # shares of documents that have the cell
     ratio = np.log((p + 1) / (y.sum() + 2)) - np.log((q + 1) / ((1 - y).sum() + 2))
     chosen = np.flatnonzero((p + q >= min_df) & (np.abs(ratio) >= min_ratio))
     number = np.full(width, -1, np.int32)
     number[chosen] = np.arange(len(chosen))
     kept, count = [np.zeros(0, np.int32)], np.zeros(len(y), np.int64)
-    for row, cell in presence():
-        used = number[cell] >= 0
-        kept.append(number[cell[used]])
-        count += np.bincount(row[used], minlength=len(y))
+    for row, cells in presence():
+        used = number[cells]
+        kept.append(used[used >= 0])
+        count[row] = len(kept[-1])
     indices = np.concatenate(kept)
     indptr = np.concatenate([[0], np.cumsum(count)])
     w, bias = fit_sparse_logistic(indptr, indices, ratio[chosen].astype(np.float32)[indices], y, len(chosen), l2)
@@ -129,7 +133,7 @@ def score(docs: DataFrame, model, keep: list[str] | None = None, name: str = "sc
             columns = [batch.column(i) for i in range(len(keep))]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(model.scores(batch.column(len(keep))), pa.float64())], names=[*keep, name])
 
-    return out.mapInArrow(run, schema)
+    return out.mapInArrow(lean(run), schema)
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
