@@ -19,19 +19,37 @@ SPACE_CLASS = r"\x20\x09-\x0D"
 WORD = f"[^{SPACE_CLASS}]+"
 
 
+_own: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors see: ``spark.checkpoint.dir``. Where that is unset (tests on
-    one machine), a fresh temporary folder is set for the session."""
+    """The folder that the driver and all executors see: ``spark.checkpoint.dir``. Only where that is unset (tests on
+    one machine) a temporary folder is taken, one for each application."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
-        at = "file://" + tempfile.mkdtemp(prefix="tidewire-")
-        spark.conf.set("spark.checkpoint.dir", at)
-        spark.sparkContext.setCheckpointDir(at)
+        app = spark.sparkContext.applicationId
+        if app not in _own:
+            _own[app] = "file://" + tempfile.mkdtemp(prefix="tidewire-")
+        at = _own[app]
     return at.rstrip("/")
 
 
+def application_dir(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/tidewire/{spark.sparkContext.applicationId}"
+
+
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/tidewire/{name}-{uuid.uuid4().hex}"
+    return f"{application_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def clean(spark: SparkSession) -> None:
+    """Deletes all that this application has written into the shared folder; results not yet read are lost."""
+    delete(spark, application_dir(spark))
 
 
 def cut(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
@@ -47,8 +65,7 @@ def drop_cut(spark: SparkSession, df: DataFrame | None) -> None:
     """Deletes what :func:`cut` wrote, when nothing reads it any more."""
     at = getattr(df, "_tidewire_path", None)
     if at:
-        path = spark._jvm.org.apache.hadoop.fs.Path(at)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        delete(spark, at)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
