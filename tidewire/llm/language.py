@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .linear import fit_linear_svm, sigmoid
-from .shared import bounded_sample, crc_mod, lean, owners, plain_texts, table, text_chunks
+from .shared import bounded_sample, crc_mod, lean, owners, plain_texts, release, table, text_chunks
 from .toxicity import LOWER
 
 #: Families of language codes.
@@ -138,7 +138,10 @@ def train(docs: DataFrame, mod: int = 4, remainder: int = 2, bound: int = 800) -
     rows = docs.select("doc_id", "text", "lang").where("lang is not null").join(F.broadcast(chosen), "doc_id").collect()  # a bounded sample
     rows = sorted(rows, key=lambda r: (r["doc_id"], r["text"] or "", r["lang"]))
     rows = [r for r in rows if any(c.isalpha() for c in r["text"] or "")]
-    return fit([r["text"] for r in rows], [r["lang"] for r in rows])
+    model = fit([r["text"] for r in rows], [r["lang"] for r in rows])
+    del rows
+    release()
+    return model
 
 
 def predict(docs: DataFrame, model: LanguageModel, keep: list[str] | None = None, names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:

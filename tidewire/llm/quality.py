@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from .cuts import power_tables
 from .linear import sigmoid
-from .shared import crc_mod, owners, table, text_chunks
+from .shared import crc_mod, owners, release, table, text_chunks
 from .toxicity import LOWER, labelled_texts, score
 
 BITS = 20
@@ -122,7 +122,10 @@ def fit(texts: list[str | None], labels: np.ndarray, alpha: float = 0.5, beta: f
 
 def train(docs: DataFrame, labels: DataFrame, mod: int = 5, remainder: int = 0, bound: int = 2500) -> QualityModel:
     texts, y = labelled_texts(docs, labels, "quality", crc_mod("doc_id", mod) == remainder, bound)
-    return fit(texts, y)
+    model = fit(texts, y)
+    del texts
+    release()
+    return model
 
 
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .linear import fit_sparse_logistic, sigmoid
-from .shared import bounded_sample, crc_mod, lean, owners, table, text_chunks
+from .shared import bounded_sample, crc_mod, lean, owners, release, table, text_chunks
 
 BITS = 20
 ORDERS = (3, 4, 5, 6)
@@ -119,7 +119,10 @@ def labelled_texts(docs: DataFrame, labels: DataFrame, label: str, held_out: Col
 
 def train(docs: DataFrame, labels: DataFrame, mod: int = 4, remainder: int = 2, bound: int = 2500) -> ToxicityModel:
     texts, y = labelled_texts(docs, labels, "toxic", crc_mod("doc_id", mod) == remainder, bound)
-    return fit(texts, y)
+    model = fit(texts, y)
+    del texts
+    release()
+    return model
 
 
 def score(docs: DataFrame, model, keep: list[str] | None = None, name: str = "score") -> DataFrame:
