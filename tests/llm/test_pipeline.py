@@ -45,3 +45,45 @@ def test_stages(spark, data):
 def test_awkward_and_empty(spark, tables, empty):
     assert [df.count() for _, df in run_stages(spark, empty)] == [0] * 5
     run_stages(spark, tables)[-1][1].collect()
+
+
+def near_pairs(texts):
+    """All pairs of five-word similarity 0.8 or more, plainly."""
+    found = []
+    for t in texts:
+        w = (t or "").lower().split()
+        found.append({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set())
+    same = lambda a, b: 5 * len(a & b) >= 4 * len(a | b)
+    return {(i, j) for j in range(len(found)) for i in range(j) if same(found[i], found[j])}
+
+
+def edited(r, words, n):
+    """A copy with n single words changed, far enough apart to change five shingles each."""
+    out = list(words)
+    for i in r.choice(len(words) // 5, n, replace=False):
+        out[5 * i + 2] += "x"
+    return " ".join(out)
+
+
+def test_near_copies_at_080(spark):
+    """Copies with changed words, just at and above 0.8 and below it: what links is what the similarity says."""
+    import numpy as np
+
+    from tidewire.llm import simhash
+
+    r, texts = np.random.default_rng(0), []
+    for _ in range(60):
+        words = [f"w{x}" for x in r.integers(0, 5000, 204)]
+        texts += [" ".join(words), edited(r, words, int(r.choice([1, 2, 3, 4, 6, 8, 12])))]
+    words = [f"h{x}" for x in r.integers(0, 5000, 204)]
+    texts += [edited(r, words, int(n)) for n in r.integers(0, 4, 60)]  # one large group, dealt out when tile is small
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = list(range(len(texts)))
+    for i, j in sorted(near_pairs(texts)):
+        a, b = want[i], want[j]
+        want = [min(a, b) if x in (a, b) else x for x in want]
+    for tile in (2048, 16):
+        got = {x["doc_id"]: x["component_id"] for x in simhash.similar_texts(spark, docs, tile=tile).collect()}
+        assert [got[i] for i in range(len(texts))] == want
+    kept = {x["doc_id"] for x in simhash.keep_one(spark, docs, "").collect()}
+    assert kept == set(want)

@@ -8,9 +8,13 @@ vectors within the radius have the same cell in the sub-grid of at least one cho
 each). Inside a cell the Manhattan bound is tested, then the Hamming distance.
 
 ``prints`` fingerprints of a text, from independently mixed shingle hashes (the first is the hash itself), may be taken;
-documents link if any of them does. One is what op8's contract asks for; the pipeline takes four: of copies with some
-words changed, whose similarity on five words is 0.8, 0.85, 0.9 or 0.95, one fingerprint links 9, 21, 38 or 65 in a
-hundred, four 26, 56, 77 or all (measured on 14,421 texts); of those at 0.6, none and one.
+documents link if any of them does. One is what op8's contract asks for.
+
+The pipeline's stage (:func:`similar_texts`) links texts whose sets of five-word shingles have a Jaccard similarity of
+0.8 or more, whatever their fingerprints. Candidates are op8's links and texts that share one of BANDS keys of ROWS
+minima each (a pair at 0.8 shares none with probability 3e-6); every candidate is confirmed on the exact sets. A bucket
+of equal keys gives a spanning tree of greatest estimated similarity instead of all pairs: a tree of greatest weights,
+cut below a threshold, has the components of all links above it.
 
 Only different fingerprints are joined (copies collapse first). A cell gives a spanning forest of its links, not all
 pairs; a cell with more than ``tile`` fingerprints is dealt out as pairs of blocks, so that no task gathers it whole.
@@ -51,11 +55,8 @@ def mixed(h: np.ndarray, t: int) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def fingerprint(text: bytes, size: int = 3, prints: int = 1) -> np.ndarray:
-    """The fingerprints of one text's UTF-8 bytes."""
-    words = FIND_WORDS(text.lower())  # bytes.lower() changes A-Z only
-    if not words:
-        return np.zeros(prints, np.uint64)
+def shingles(words: list[bytes], size: int) -> Iterator[np.ndarray]:
+    """Hashes of each ``size`` words in a row (of all words, if there are fewer), in runs."""
     n = max(1, len(words) - size + 1)
     digest = xxhash.xxh64_intdigest
     joined = b" ".join(words)
@@ -65,10 +66,19 @@ def fingerprint(text: bytes, size: int = 3, prints: int = 1) -> np.ndarray:
         ends.append(at)
     starts = [0, *[e + 1 for e in ends]]
     last = ends[size - 1 :] or ends[-1:]  # fewer words: the whole sequence
-    counts = np.zeros((prints, 64), np.int64)
     for a in range(0, n, 1 << 16):
         b = min(n, a + (1 << 16))
-        h = np.array([digest(joined[s:e], 42) for s, e in zip(starts[a:b], last[a:b], strict=True)], np.uint64)
+        yield np.array([digest(joined[s:e], 42) for s, e in zip(starts[a:b], last[a:b], strict=True)], np.uint64)
+
+
+def fingerprint(text: bytes, size: int = 3, prints: int = 1) -> np.ndarray:
+    """The fingerprints of one text's UTF-8 bytes."""
+    words = FIND_WORDS(text.lower())  # bytes.lower() changes A-Z only
+    if not words:
+        return np.zeros(prints, np.uint64)
+    n = max(1, len(words) - size + 1)
+    counts = np.zeros((prints, 64), np.int64)
+    for h in shingles(words, size):
         for t in range(prints):
             counts[t] += np.unpackbits(mixed(h, t).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
     return np.packbits(counts * 2 > n, axis=1, bitorder="little").view(np.uint64)[:, 0]
@@ -167,22 +177,26 @@ def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield linked(rest)
 
 
+def _dealt(spark: SparkSession, keys: DataFrame, by: str, tile: int) -> DataFrame:
+    """(key, part, ``by``, the rest): a key with more than ``tile`` rows is dealt out as pairs of blocks."""
+    rest = [c for c in keys.columns if c not in ("key", by)]
+    hot = keys.groupBy("key").count().where(F.col("count") > tile)
+    hot = cut(spark, hot.select("key", F.ceil(F.col("count") / (tile // 2)).cast("int").alias("blocks")), "hot-cells")
+    if not hot.limit(1).count():
+        return keys.select("key", F.lit(0).cast("long").alias("part"), by, *rest)
+    # a hot cell's rows go to blocks by a hash, and each pair of blocks is a part of its own
+    keys = keys.join(hot, "key", "left")
+    block = F.pmod(F.xxhash64(by, F.lit("block")), F.col("blocks")).cast("int")
+    other = F.explode(F.when(F.col("blocks").isNull(), F.array(F.lit(-1))).otherwise(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    keys = keys.withColumn("block", F.coalesce(block, F.lit(0))).withColumn("other", other)
+    part = F.when(F.col("other") < 0, F.lit(0)).otherwise(F.least("block", "other").cast("long") * (1 << 31) + F.greatest("block", "other")).cast("long")
+    return keys.select("key", part.alias("part"), by, *rest)
+
+
 def links(spark: SparkSession, each: DataFrame, tile: int = 4096) -> DataFrame:
     """(a, b): links between different fingerprints that span the components. ``each`` has one row for each
     fingerprint: print (its number), fp and doc_id."""
-    keys = _keys(each)
-    hot = keys.groupBy("key").count().where(F.col("count") > tile)
-    hot = cut(spark, hot.select("key", F.ceil(F.col("count") / (tile // 2)).cast("int").alias("blocks")), "hot-cells")
-    if hot.limit(1).count():
-        # a hot cell's rows go to blocks by a hash, and each pair of blocks is a part of its own
-        keys = keys.join(hot, "key", "left")
-        block = F.pmod(F.xxhash64("fp", F.lit("block")), F.col("blocks")).cast("int")
-        other = F.explode(F.when(F.col("blocks").isNull(), F.array(F.lit(-1))).otherwise(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        keys = keys.withColumn("block", F.coalesce(block, F.lit(0))).withColumn("other", other)
-        part = F.when(F.col("other") < 0, F.lit(0)).otherwise(F.least("block", "other").cast("long") * (1 << 31) + F.greatest("block", "other")).cast("long")
-        keys = keys.select("key", part.alias("part"), "fp", "doc_id")
-    else:
-        keys = keys.select("key", F.lit(0).cast("long").alias("part"), "fp", "doc_id")
+    keys = _dealt(spark, _keys(each), "fp", tile)
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     return keys.repartition(n, "key", "part").sortWithinPartitions("key", "part").mapInArrow(lean(_links), "a long, b long")
 
@@ -207,7 +221,149 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex(F.col("fps")[0]), 16, "0")).alias("fingerprint"), "component_id")
 
 
+# --- the pipeline's stage: five words, similarity of 0.8 ------------------------------------------------------------
+
+WORDS = 5
+BANDS, ROWS = 24, 4
+HASHES = BANDS * ROWS
+#: Equal minima from which a pair is a candidate: at a similarity of 0.8, 77 of 96 are expected, with a deviation of 4.
+LEAST_EQUAL = 60
+_XOR, _TIMES = (mixed(np.arange(HASHES, dtype=np.uint64), t)[:, None] | np.uint64(1) for t in (11, 12))
+
+
+def shingle_set(text: bytes) -> np.ndarray:
+    """The different hashes of five words in a row, sorted."""
+    words = FIND_WORDS(text.lower())
+    return np.unique(np.concatenate([*shingles(words, WORDS)])) if words else np.zeros(0, np.uint64)
+
+
+def sketch(found: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(BANDS keys, HASHES bytes) of a set: equal keys for equal minima of ROWS hashes, a byte of each minimum."""
+    least = np.full(HASHES, 0xFFFFFFFFFFFFFFFF, np.uint64)
+    for a in range(0, len(found), 4096):
+        np.minimum(least, ((found[a : a + 4096] ^ _XOR) * _TIMES).min(1), out=least)
+    keys = np.arange(BANDS, dtype=np.uint64)
+    for row in least.reshape(BANDS, ROWS).T:
+        keys = mixed(keys ^ row, 13)
+    return keys, (least >> np.uint64(32)).astype(np.uint8)
+
+
+def sketches(docs: DataFrame) -> DataFrame:
+    """(doc_id, fps, same, bands, sketch): op8's fingerprint, a hash of the set, its keys and bytes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 512):
+                batch = whole.slice(at, 512)
+                fps, same, bands, marks = [], [], [], []
+                for t in plain_texts(batch.column(1)):
+                    text = t.as_buffer().to_pybytes()
+                    found = shingle_set(text)
+                    keys, mark = sketch(found)
+                    fps.append(fingerprint(text).view(np.int64))
+                    same.append(xxhash.xxh3_128_digest(found.tobytes()))
+                    bands.append(keys.view(np.int64))
+                    marks.append(mark.tobytes())
+                lists = [pa.array(x, pa.list_(pa.int64())) for x in (fps, bands)]
+                yield pa.RecordBatch.from_arrays([batch.column(0), lists[0], pa.array(same, pa.binary()), lists[1], pa.array(marks, pa.binary())], names=["doc_id", "fps", "same", "bands", "sketch"])
+
+    return docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(lean(run), "doc_id long, fps array<long>, same binary, bands array<long>, sketch binary")
+
+
+def _tree(marks: np.ndarray, doc: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Trees of greatest estimated similarity over one bucket, without links below LEAST_EQUAL."""
+    now, left = 0, np.arange(1, len(doc))
+    others = marks[1:].copy()
+    best, origin = np.zeros(len(left), np.int64), np.zeros(len(left), np.int64)
+    while len(left):
+        equal = np.count_nonzero(others == marks[now], axis=1)
+        nearer = equal >= best
+        best[nearer], origin[nearer] = equal[nearer], now
+        k = int(best.argmax())
+        now = left[k]
+        if best[k] >= LEAST_EQUAL:
+            yield int(doc[origin[k]]), int(doc[now])
+        last = len(left) - 1
+        if k < last:
+            left[k], best[k], origin[k] = left[last], best[last], origin[last]
+            others[k] = others[last]
+        left, best, origin, others = left[:last], best[:last], origin[:last], others[:last]
+
+
+def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches (key, part, doc_id, sketch) sorted by (key, part): trees of each run of equal keys."""
+    rest: list[np.ndarray] = [np.zeros(0, np.int64)] * 3 + [np.zeros((0, HASHES), np.uint8)]
+
+    def linked(columns: list[np.ndarray]) -> pa.RecordBatch:
+        key, part, doc, marks = columns
+        at = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (part[1:] != part[:-1]), [True]])) if len(key) else np.zeros(1, np.int64)
+        size = np.diff(at)
+        two = at[:-1][size == 2]
+        two = two[np.count_nonzero(marks[two] == marks[two + 1], axis=1) >= LEAST_EQUAL]
+        a, b = doc[two], doc[two + 1]
+        more = [x for s, n in zip(at[:-1][size > 2], size[size > 2], strict=True) for x in _tree(marks[s : s + n], doc[s : s + n])]
+        if more:
+            found = np.array(more, np.int64)
+            a, b = np.concatenate([a, found[:, 0]]), np.concatenate([b, found[:, 1]])
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        marks = np.frombuffer(b"".join(batch.column(3).to_pylist()), np.uint8).reshape(-1, HASHES)
+        columns = [c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns[:3]] + [marks]
+        columns = [np.concatenate([r, c]) for r, c in zip(rest, columns, strict=True)]
+        last = np.flatnonzero((columns[0] != columns[0][-1]) | (columns[1] != columns[1][-1]))
+        begin = int(last[-1]) + 1 if len(last) else 0
+        rest = [c[begin:] for c in columns]
+        if begin:
+            yield linked([c[:begin] for c in columns])
+    yield linked(rest)
+
+
+def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for whole in batches:
+        for at in range(0, whole.num_rows, 512):
+            batch = whole.slice(at, 512)
+            found = [shingle_set(t.as_buffer().to_pybytes()).tobytes() for t in plain_texts(batch.column(1))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], names=["doc_id", "found"])
+
+
+def _confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of (a, b, set of a, set of b), the (a, b) with a similarity of 0.8 or more."""
+    for batch in batches:
+        keep = []
+        for x, y in zip(batch.column(2), batch.column(3), strict=True):
+            one, two = (np.frombuffer(s.as_buffer(), np.uint64) if s.as_buffer().size else np.zeros(0, np.uint64) for s in (x, y))
+            both = len(np.intersect1d(one, two, assume_unique=True))
+            keep.append(5 * both >= 4 * (len(one) + len(two) - both))
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+
+def similar_texts(spark: SparkSession, docs: DataFrame, tile: int = 2048) -> DataFrame:
+    """(doc_id, component_id): components of the texts with a five-word similarity of 0.8 or more."""
+    every = cut(spark, sketches(docs), "sketches")
+    first = F.min(F.struct("doc_id", "fps", "bands", "sketch")).alias("first")
+    nodes = cut(spark, every.groupBy("same").agg(first).select("same", "first.*"), "distinct-sets")
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    keys = _dealt(spark, nodes.select(F.explode("bands").alias("key"), "doc_id", "sketch"), "doc_id", tile)
+    shared = keys.repartition(n, "key", "part").sortWithinPartitions("key", "part").mapInArrow(lean(_candidates), "a long, b long")
+    prints = nodes.select("doc_id", F.lit(0).alias("print"), F.col("fps")[0].alias("fp"))
+    each = cut(spark, prints.groupBy("print", "fp").agg(F.min("doc_id").alias("doc_id")), "single-fingerprints")
+    equal = prints.join(each.withColumnRenamed("doc_id", "first"), ["print", "fp"]).select(F.col("doc_id").alias("a"), F.col("first").alias("b"))
+    pairs = shared.unionByName(links(spark, each)).unionByName(equal).where("a <> b")
+    pairs = cut(spark, pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "candidates")
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(ids, "doc_id")
+    sets = cut(spark, texts.select("doc_id", "text").mapInArrow(lean(_sets), "doc_id long, found binary"), "shingle-sets")
+    both = pairs.join(sets.toDF("a", "one"), "a").join(sets.toDF("b", "two"), "b").select("a", "b", "one", "two")
+    found = both.mapInArrow(lean(_confirmed), "a long, b long")
+    roots = components(spark, found).select(F.col("node").alias("doc_id"), "root")
+    named = nodes.join(roots, "doc_id", "left").select("same", F.coalesce("root", "doc_id").alias("component_id"))
+    return every.select("doc_id", "same").join(named, "same").select("doc_id", "component_id")
+
+
 def keep_one(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: of each group the document with the smallest doc_id stays."""
-    gone = near_duplicates(spark, docs, prints=4).where("doc_id <> component_id").select("doc_id").distinct()
+    """Pipeline stage: of each group of :func:`similar_texts` the document with the smallest doc_id stays."""
+    gone = similar_texts(spark, docs).where("doc_id <> component_id").select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
