@@ -129,3 +129,30 @@ def test_http(spark, data, tmp_path):
     assert [get(p)[0] for p in ("/api/search?q=the", "/api/search?q=", "/api/search?q=a(", "/nowhere", "/api/noticias?page=x")] == [200, 400, 400, 404, 500]
     assert get("/api/export/csv")[1].startswith(b"titulo,")
     server.shutdown()
+
+
+def test_registered_models_run_whole(spark, data, monkeypatch):
+    """The registered queries run the operators' defaults: 20 passes, 10 starts."""
+    import inspect
+
+    from tidewire.plans import queries
+
+    class Seen(Exception):
+        pass
+
+    def spy(real):
+        def call(*args, **kw):
+            bound = inspect.signature(real).bind(*args, **kw)
+            bound.apply_defaults()
+            raise Seen(bound.arguments)
+
+        return call
+
+    monkeypatch.setattr(queries, "_vectors", lambda spark, sf_dir: (None, None, []))
+    monkeypatch.setattr(queries.topics, "fit", spy(topics.fit))
+    monkeypatch.setattr(queries.clusters, "fit", spy(clusters.fit))
+    for name in ("lda_topics", "topic_catalogue", "kmeans_clusters", "cluster_sizes", "cluster_terms", "silhouette"):
+        with pytest.raises(Seen) as found:
+            getattr(queries, name)(spark, data)
+        seen = found.value.args[0]
+        assert seen.get("passes", 20) == 20 and seen.get("inits", 10) == 10

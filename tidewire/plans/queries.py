@@ -357,39 +357,39 @@ def _vectors(spark: SparkSession, sf_dir: str) -> tuple[vectorize.Tfidf, DataFra
 @query()
 def lda_topics(spark: SparkSession, sf_dir: str) -> DataFrame:
     _, vectors, words = _vectors(spark, sf_dir)
-    found = topics.fit(vectors, words, passes=2)
+    found = topics.fit(vectors, words)
     return topics.describe(found.assigned, found.catalogue)
 
 
 @query()
 def topic_catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
     _, vectors, words = _vectors(spark, sf_dir)
-    found = topics.fit(vectors, words, passes=2)
+    found = topics.fit(vectors, words)
     return found.catalogue.withColumn("perplexity", F.lit(found.perplexity))
 
 
 @query()
 def kmeans_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     _, vectors, words = _vectors(spark, sf_dir)
-    return clusters.fit(vectors, words, inits=2).assigned
+    return clusters.fit(vectors, words).assigned
 
 
 @query()
 def cluster_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     _, vectors, words = _vectors(spark, sf_dir)
-    return clusters.sizes(clusters.fit(vectors, words, inits=2).assigned)
+    return clusters.sizes(clusters.fit(vectors, words).assigned)
 
 
 @query()
 def cluster_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     _, vectors, words = _vectors(spark, sf_dir)
-    return clusters.fit(vectors, words, inits=2).terms
+    return clusters.fit(vectors, words).terms
 
 
 @query()
 def silhouette(spark: SparkSession, sf_dir: str) -> DataFrame:
     model, vectors, words = _vectors(spark, sf_dir)
-    found = clusters.fit(vectors, words, inits=2)
+    found = clusters.fit(vectors, words)
     return spark.createDataFrame([(found.silhouette_sq, clusters.silhouette(model, found.assigned))], "silhouette_sq double, silhouette double")
 
 
