@@ -13,8 +13,9 @@ documents link if any of them does. One is what op8's contract asks for.
 The pipeline's stage (:func:`similar_texts`) links texts whose sets of five-word shingles have a Jaccard similarity of
 0.8 or more, whatever their fingerprints. Candidates are op8's links and texts that share one of BANDS keys of ROWS
 minima each (a pair at 0.8 shares none with probability 3e-6); every candidate is confirmed on the exact sets. A bucket
-of equal keys gives a spanning tree of greatest estimated similarity instead of all pairs: a tree of greatest weights,
-cut below a threshold, has the components of all links above it.
+of equal keys gives all its pairs or, above ALL_PAIRS texts, a spanning tree of greatest estimated similarity: with exact
+similarities such a tree, cut below a threshold, has the components of all links above it; with estimates a link near 0.8
+may be missed if a pair of a higher estimate in its place is below 0.8.
 
 Only different fingerprints are joined (copies collapse first). A cell gives a spanning forest of its links, not all
 pairs; a cell with more than ``tile`` fingerprints is dealt out as pairs of blocks, so that no task gathers it whole.
@@ -228,6 +229,8 @@ BANDS, ROWS = 24, 4
 HASHES = BANDS * ROWS
 #: Equal minima from which a pair is a candidate: at a similarity of 0.8, 77 of 96 are expected, with a deviation of 4.
 LEAST_EQUAL = 60
+#: Buckets up to this size give all their candidate pairs, larger ones a tree.
+ALL_PAIRS = 64
 _XOR, _TIMES = (mixed(np.arange(HASHES, dtype=np.uint64), t)[:, None] | np.uint64(1) for t in (11, 12))
 
 
@@ -270,6 +273,13 @@ def sketches(docs: DataFrame) -> DataFrame:
     return docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(lean(run), "doc_id long, fps array<long>, same binary, bands array<long>, sketch binary")
 
 
+def _pairs(marks: np.ndarray, doc: np.ndarray) -> Iterator[tuple[int, int]]:
+    """All candidate pairs of a small bucket."""
+    for i in range(len(doc) - 1):
+        for j in np.flatnonzero(np.count_nonzero(marks[i + 1 :] == marks[i], axis=1) >= LEAST_EQUAL):
+            yield int(doc[i]), int(doc[i + 1 + j])
+
+
 def _tree(marks: np.ndarray, doc: np.ndarray) -> Iterator[tuple[int, int]]:
     """Trees of greatest estimated similarity over one bucket, without links below LEAST_EQUAL."""
     now, left = 0, np.arange(1, len(doc))
@@ -301,7 +311,7 @@ def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         two = at[:-1][size == 2]
         two = two[np.count_nonzero(marks[two] == marks[two + 1], axis=1) >= LEAST_EQUAL]
         a, b = doc[two], doc[two + 1]
-        more = [x for s, n in zip(at[:-1][size > 2], size[size > 2], strict=True) for x in _tree(marks[s : s + n], doc[s : s + n])]
+        more = [x for s, n in zip(at[:-1][size > 2], size[size > 2], strict=True) for x in (_pairs if n <= ALL_PAIRS else _tree)(marks[s : s + n], doc[s : s + n])]
         if more:
             found = np.array(more, np.int64)
             a, b = np.concatenate([a, found[:, 0]]), np.concatenate([b, found[:, 1]])
@@ -347,7 +357,7 @@ def similar_texts(spark: SparkSession, docs: DataFrame, tile: int = 2048) -> Dat
     nodes = cut(spark, every.groupBy("same").agg(first).select("same", "first.*"), "distinct-sets")
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     keys = _dealt(spark, nodes.select(F.explode("bands").alias("key"), "doc_id", "sketch"), "doc_id", tile)
-    shared = keys.repartition(n, "key", "part").sortWithinPartitions("key", "part").mapInArrow(lean(_candidates), "a long, b long")
+    shared = keys.repartition(n, "key", "part").sortWithinPartitions("key", "part", "doc_id").mapInArrow(lean(_candidates), "a long, b long")
     prints = nodes.select("doc_id", F.lit(0).alias("print"), F.col("fps")[0].alias("fp"))
     each = cut(spark, prints.groupBy("print", "fp").agg(F.min("doc_id").alias("doc_id")), "single-fingerprints")
     equal = prints.join(each.withColumnRenamed("doc_id", "first"), ["print", "fp"]).select(F.col("doc_id").alias("a"), F.col("first").alias("b"))
