@@ -1,5 +1,9 @@
-"""Encoding texts cut by cut: each different cut, known by a 64-bit hash, is encoded once by a library and kept in a
-bounded table that a worker holds from task to task. All steps but the library's are numpy over whole batches.
+"""Encoding texts cut by cut: each different cut is encoded once by a library and kept in a bounded table that a worker
+holds from task to task. All steps but the library's are numpy over whole batches.
+
+A cut of up to SHORT bytes is known by its bytes themselves, packed into three words with its length; a hash of them only
+says where to look, and what is found there is compared. Longer cuts are looked up by their bytes in a dictionary, and
+those of over LONGEST bytes are encoded wherever they stand, so that no text can fill the table.
 """
 
 from __future__ import annotations
@@ -9,7 +13,7 @@ from collections.abc import Callable
 
 import numpy as np
 
-BASE = 0x5851F42D4C957F2D
+SHORT, LONGEST = 23, 256
 
 
 def threads(count: int = 2) -> None:
@@ -18,37 +22,6 @@ def threads(count: int = 2) -> None:
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "true")
 
 
-def powers(base: int, n: int) -> np.ndarray:
-    """base^0 .. base^(n-1) modulo 2^64."""
-    out = np.ones(max(n, 1), np.uint64)
-    done = 1
-    while done < n:
-        more = min(done, n - done)
-        out[done : done + more] = out[:more] * np.uint64(pow(base, done, 1 << 64))
-        done += more
-    return out
-
-
-_tables: list[np.ndarray] = []
-
-
-def power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base and of its inverse, n at least; those of a long text are not kept."""
-    kept = 1 << 20
-    if n > kept + 1:
-        return powers(BASE, n), powers(pow(BASE, -1, 1 << 64), n)
-    if not _tables:
-        _tables[:] = [powers(BASE, kept + 1), powers(pow(BASE, -1, 1 << 64), kept + 1)]
-    return _tables[0], _tables[1]
-
-
-def run_hashes(data: np.ndarray, at: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A hash of each run data[at:ends]: a polynomial in the bytes plus one, so that it depends on content alone."""
-    up, down = power_tables(len(data) + 1)
-    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)], dtype=np.uint64)])
-    return (total[ends] - total[at]) * down[at]
-
-
 def ragged(first: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Positions first, first + 1, ... of every run, one run after the other; and where each run ends."""
     close = np.cumsum(length)
@@ -63,21 +36,45 @@ def split_at(ids: np.ndarray, starts: np.ndarray, count: int) -> list[np.ndarray
     return [ids[s:e] for s, e in zip(at.tolist(), np.append(at[1:], len(ids)).tolist(), strict=True)]
 
 
+#: For each length, which bytes of the three words belong to the cut.
+_MASKS = np.array([[0xFF] * n + [0] * (24 - n) for n in range(SHORT + 1)], np.uint8).view(np.uint64)
+
+
+def packed(data: np.ndarray, at: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """Three words for each cut of up to SHORT bytes: its bytes, zeros, and its length in the last byte."""
+    padded = np.concatenate([data, np.zeros(24, np.uint8)])
+    windows = np.lib.stride_tricks.as_strided(padded, (len(data) + 1, 24), (1, 1)).view("V24")[:, 0]
+    words = windows[at].view(np.uint64).reshape(-1, 3) & _MASKS[length]
+    words[:, 2] |= length.astype(np.uint64) << np.uint64(56)
+    return words
+
+
+def places(words: np.ndarray) -> np.ndarray:
+    """A hash of the words, to look them up by."""
+    h = (words[:, 0] ^ (words[:, 2] * np.uint64(0xD6E8FEB86659FD93))) * np.uint64(0x9E3779B97F4A7C15)
+    h ^= (h >> np.uint64(29)) ^ (words[:, 1] * np.uint64(0xBF58476D1CE4E5B9))
+    return h * np.uint64(0x94D049BB133111EB)
+
+
+Learn = Callable[[list[bytes]], tuple[list[np.ndarray], list[bool]]]
+
+
 class CutTable:
     """``learn`` gets cuts as bytes and gives the ids of each, and whether it is odd. A table of over ``most`` cuts is
     begun anew, which changes no result."""
 
-    def __init__(self, learn: Callable[[list[bytes]], tuple[list[np.ndarray], list[bool]]], kind: type, most: int = 500_000) -> None:
+    def __init__(self, learn: Learn, kind: type, most: int = 500_000) -> None:
         self.learn, self.kind, self.most = learn, kind, most
         self._forget()
+        self.long: dict[bytes, tuple[np.ndarray, bool]] = {}
 
     def _forget(self) -> None:
-        self.hashes = np.zeros(0, np.uint64)  # sorted
+        self.hashes, self.words = np.zeros(0, np.uint64), np.zeros((0, 3), np.uint64)  # sorted by hash
         self.first, self.length, self.odd = np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, bool)
         self.flat, self.used = np.zeros(1 << 16, self.kind), 0
 
-    def _slots(self, h: np.ndarray, at: np.ndarray, ends: np.ndarray, data: np.ndarray) -> np.ndarray:
-        """Places in the table of sorted different hashes, whose cuts are data[at:ends]."""
+    def _slots(self, h: np.ndarray, words: np.ndarray) -> np.ndarray:
+        """Places in the table of sorted different hashes."""
         if len(self.hashes) > self.most:
             self._forget()
         place = np.searchsorted(self.hashes, h)
@@ -87,7 +84,8 @@ class CutTable:
         new = np.flatnonzero(~there)
         if not len(new):
             return place
-        got, odd = self.learn([data[s:e].tobytes() for s, e in zip(at[new].tolist(), ends[new].tolist(), strict=True)])
+        raw = words[new].tobytes()
+        got, odd = self.learn([raw[24 * k : 24 * k + raw[24 * k + 23]] for k in range(len(new))])
         length = np.array([len(g) for g in got], np.int64)
         need = self.used + int(length.sum())
         if need > len(self.flat):
@@ -96,16 +94,46 @@ class CutTable:
         first = self.used + np.cumsum(length) - length
         self.used = need
         where = place[new]
-        self.hashes = np.insert(self.hashes, where, h[new])
+        self.hashes, self.words = np.insert(self.hashes, where, h[new]), np.insert(self.words, where, words[new], axis=0)
         self.first, self.length = np.insert(self.first, where, first), np.insert(self.length, where, length)
         self.odd = np.insert(self.odd, where, odd)
         return np.searchsorted(self.hashes, h)
 
+    def _others(self, cuts: list[bytes]) -> list[tuple[np.ndarray, bool]]:
+        """Ids of cuts by their bytes."""
+        if len(self.long) > self.most // 8:
+            self.long = {}
+        new = [c for c in dict.fromkeys(cuts) if c not in self.long]
+        known = dict(zip(new, zip(*self.learn(new), strict=True), strict=True)) if new else {}
+        out = [known.get(c) or self.long[c] for c in cuts]
+        self.long.update((c, v) for c, v in known.items() if len(c) <= LONGEST)
+        return out
+
     def encode(self, data: np.ndarray, at: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """All cuts' ids in one row, where each cut's end, and which cuts are odd."""
         if not len(at):
             return np.zeros(0, self.kind), np.zeros(0, np.int64), np.zeros(0, bool)
-        different, where, inverse = np.unique(run_hashes(data, at, ends), return_index=True, return_inverse=True)
-        slot = self._slots(different, at[where], ends[where], data)[inverse]
-        position, close = ragged(self.first[slot], self.length[slot].astype(np.int64))
-        return self.flat[position], close, self.odd[slot]
+        size = ends - at
+        short = size <= SHORT
+        plain = bool(short.all())
+        words = packed(data, at, size) if plain else packed(data, at[short], size[short])
+        different, where, inverse = np.unique(places(words), return_index=True, return_inverse=True)
+        slot = self._slots(different, words[where])[inverse]
+        same = (self.words[slot] == words).all(1)  # two cuts of one hash, or one that the table knows otherwise
+        if plain and same.all():
+            position, close = ragged(self.first[slot], self.length[slot].astype(np.int64))
+            return self.flat[position], close, self.odd[slot]
+        rest = ~short
+        rest[np.flatnonzero(short)[~same]] = True
+        others = np.flatnonzero(rest)
+        found = self._others([data[s:e].tobytes() for s, e in zip(at[others].tolist(), ends[others].tolist(), strict=True)])
+        # the others' ids follow the table's, and all are read in order
+        flat = np.concatenate([self.flat[: self.used], *(ids for ids, _ in found)])
+        first, length, odd = np.zeros(len(at), np.int64), np.zeros(len(at), np.int64), np.zeros(len(at), bool)
+        known = np.flatnonzero(~rest)
+        first[known], length[known], odd[known] = self.first[slot[same]], self.length[slot[same]], self.odd[slot[same]]
+        length[others] = [len(ids) for ids, _ in found]
+        first[others] = self.used + np.cumsum(length[others]) - length[others]
+        odd[others] = [o for _, o in found]
+        position, close = ragged(first, length)
+        return flat[position], close, odd

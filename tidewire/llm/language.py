@@ -8,7 +8,8 @@ each language). Scoring is numpy over Arrow buffers, one pass, no shuffle.
 
 The score is the logistic of the family margins, normalised to sum to 1, times the mean of the language's pairwise
 logistic margins within the family. Defined results: ``und`` with score 0.0 if the text is null or has no letter, or
-if no language was learned; rows without a lang are not learned from. Extra columns of the input are kept out.
+if no language was learned; rows without a lang or doc_id are not learned from; of several rows with one doc_id one is.
+Extra columns of the input are kept out.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .linear import fit_linear_svm, sigmoid
-from .shared import bounded_sample, crc_mod, lean, owners, plain_texts, release, table, text_chunks
+from .shared import bounded_sample, crc_mod, lean, one_text_each, owners, plain_texts, release, table, text_chunks
 from .toxicity import LOWER
 
 #: Families of language codes.
@@ -132,11 +133,12 @@ def fit(texts: list[str | None], langs: list[str]) -> LanguageModel:
     return model
 
 
-def train(docs: DataFrame, mod: int = 4, remainder: int = 2, bound: int = 800) -> LanguageModel:
-    known = docs.select("doc_id", "lang").where("lang is not null and doc_id is not null").where(crc_mod("doc_id", mod) != remainder)
-    chosen = bounded_sample(known, "doc_id", ["lang"], bound).dropDuplicates(["doc_id"]).select("doc_id")
-    rows = docs.select("doc_id", "text", "lang").where("lang is not null").join(F.broadcast(chosen), "doc_id").collect()  # a bounded sample
-    rows = sorted(rows, key=lambda r: (r["doc_id"], r["text"] or "", r["lang"]))
+def train(docs: DataFrame, mod: int = 4, remainder: int = 2, bound: int = 800, most_langs: int = 256) -> LanguageModel:
+    """Learns the ``most_langs`` most frequent languages from about ``bound`` documents of each."""
+    named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.col("lang").cast("string").alias("lang")).where("lang is not null and doc_id is not null")
+    known = named.select("doc_id", "lang").where(crc_mod("doc_id", mod) != remainder)
+    chosen = bounded_sample(known, "doc_id", ["lang"], bound, most_langs).select("doc_id").distinct()
+    rows = sorted(one_text_each(named, chosen, "lang").collect(), key=lambda r: r["doc_id"])
     rows = [r for r in rows if any(c.isalpha() for c in r["text"] or "")]
     model = fit([r["text"] for r in rows], [r["lang"] for r in rows])
     del rows
@@ -163,7 +165,12 @@ def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return predict(docs, train(docs)).select("doc_id", (crc_mod("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score")
 
 
-def keep_known(spark: SparkSession, docs: DataFrame, sf_dir: str, least: float = 0.4) -> DataFrame:
-    """Pipeline stage: documents without a letter go, and those whose language scores under ``least``."""
-    found = predict(docs, train(docs), docs.columns, ("__lang", "__sure"))
-    return found.where(f"__lang <> 'und' and __sure >= {least}").drop("__lang", "__sure")
+def keep_known(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pipeline stage: documents without a letter go. A low score is no ground: it falls with the number of languages and
+    with a text's length, even where the language is right. Where no language could be learned, all that have a letter
+    stay."""
+    model = train(docs)
+    if not model.families:
+        return docs.where(F.coalesce(F.col("text"), F.lit("")).rlike("\\p{L}"))
+    found = predict(docs, model, docs.columns, ("__lang", "__sure"))
+    return found.where("__lang <> 'und'").drop("__lang", "__sure")

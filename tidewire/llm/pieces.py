@@ -2,14 +2,14 @@
 
 The model file's protobuf is parsed here, and its normaliser, metaspace marker, scores and byte fallback are rebuilt: a
 unigram model keeps its pieces' scores; a BPE model's merges are all splits of a piece into two pieces, in order of the
-piece's score. Batches are encoded by the library's threads.
+piece's score. New words go to the library many batches at a time, which its threads share.
 
 Where no piece has the marker after another character, nothing is ever merged across the start of a word; texts are
 then cut at their spaces, and each different word is encoded once and kept in a bounded table of a worker. Texts with
 runs of spaces, spaces at an end or markers are encoded whole. Every word that enters the table, and every whole text,
-is encoded by the sentencepiece library too (``verify``): ``parity`` says whether all of a text agreed. Where it
-doesn't, the ids of the sentencepiece library are used. ``round_trip`` says whether decoding the ids gave the text
-again; byte fallback makes that hold for models that don't normalise, but for markers, which decode to spaces.
+is encoded by the sentencepiece library too (``verify``): ``parity`` says whether all of a text agreed. The ids are the
+rebuilt tokenizer's in any case. ``round_trip`` says whether decoding the ids gave the text again; byte fallback makes
+that hold for models that don't normalise, but for markers, which decode to spaces.
 
 Defined results: null and empty texts have no ids; specials in a text are ordinary text; repeated rows are encoded
 each; a null doc_id is kept. Extra columns are kept out. The model file is read on the driver and sent along with the
@@ -38,6 +38,8 @@ MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
 MOST_MODEL_BYTES = 32 << 20
+#: Words that are joined into one text for the library; a batch has many such texts.
+GROUP = 512
 
 
 def default_model() -> str:
@@ -171,27 +173,25 @@ class Codec:
         self.first, self.flat = np.cumsum(self.length) - self.length, np.frombuffer(b"".join(texts), np.uint8)
 
     def _learn(self, words: list[bytes]) -> tuple[list[np.ndarray], list[bool]]:
-        """Ids of words without their marker, and where the libraries differ."""
+        """Ids of words without their marker, and where the judge's differ."""
         out: list[np.ndarray] = []
-        odd = [False] * len(words)
-        for a in range(0, len(words), 2048):
-            group = [w.decode() for w in words[a : a + 2048]]
-            ids = np.array(self.chunk.encode_batch_fast([MARK + MARK.join(group)], add_special_tokens=False)[0].ids, np.uint32)
+        odd: list[bool] = []
+        groups = [[w.decode() for w in words[a : a + GROUP]] for a in range(0, len(words), GROUP)]
+        for group, e in zip(groups, self.chunk.encode_batch_fast([MARK + MARK.join(g) for g in groups], add_special_tokens=False), strict=True):
+            ids = np.array(e.ids, np.uint32)
             got = split_at(ids, self.starts, len(group))  # each word begins at the one id that begins with the marker
-            if self.judge is not None and self.judge.encode(" ".join(group)) != ids.tolist():
-                for k, w in enumerate(group):
-                    right = np.array(self.judge.encode(w), np.uint32)
-                    odd[a + k] = not np.array_equal(got[k], right)
-                    got[k] = right
             out += got
+            if self.judge is None or self.judge.encode(" ".join(group)) == ids.tolist():
+                odd += [False] * len(group)
+            else:
+                odd += [self.judge.encode(w) != g.tolist() for w, g in zip(group, got, strict=True)]
         return out, odd
 
     def _whole(self, texts: list[str]) -> tuple[list[np.ndarray], list[bool]]:
         ids = [np.array(e.ids, np.uint32) for e in self.whole.encode_batch_fast(texts, add_special_tokens=False)]
         if self.judge is None:
             return ids, [False] * len(ids)
-        right = [np.array(i, np.uint32) for i in self.judge.encode(texts, num_threads=1)]
-        return right, [not np.array_equal(a, b) for a, b in zip(ids, right, strict=True)]
+        return ids, [a.tolist() != b for a, b in zip(ids, self.judge.encode(texts, num_threads=1), strict=True)]
 
     def encode(self, column: pa.Array) -> tuple[list[np.ndarray], list[bool]]:
         """Ids of each text, and whether both libraries agree on them."""

@@ -22,7 +22,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .cuts import power_tables
 from .linear import sigmoid
 from .shared import crc_mod, owners, release, table, text_chunks
 from .toxicity import LOWER, labelled_texts, score
@@ -33,6 +32,31 @@ CLASS = np.arange(256, dtype=np.uint8)
 CLASS[[32, 9, 10, 11, 12, 13, 0]] = 0
 CLASS[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = 1
 REPEAT = np.uint64(0x1F3D5B79A8C6E402)
+BASE = 0x5851F42D4C957F2D
+
+
+def powers(base: int, n: int) -> np.ndarray:
+    """base^0 .. base^(n-1) modulo 2^64."""
+    out = np.ones(max(n, 1), np.uint64)
+    done = 1
+    while done < n:
+        more = min(done, n - done)
+        out[done : done + more] = out[:more] * np.uint64(pow(base, done, 1 << 64))
+        done += more
+    return out
+
+
+_tables: list[np.ndarray] = []
+
+
+def power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the base and of its inverse, n at least; those of a long text are not kept."""
+    kept = 1 << 20
+    if n > kept + 1:
+        return powers(BASE, n), powers(pow(BASE, -1, 1 << 64), n)
+    if not _tables:
+        _tables[:] = [powers(BASE, kept + 1), powers(pow(BASE, -1, 1 << 64), kept + 1)]
+    return _tables[0], _tables[1]
 
 
 def token_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

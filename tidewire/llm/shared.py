@@ -68,6 +68,13 @@ def drop_cut(spark: SparkSession, df: DataFrame | None) -> None:
         delete(spark, at)
 
 
+def store_of(path: str):
+    """(file system, path in it) of a path in the shared folder, for work that isn't Spark's own reading and writing."""
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(path)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -78,18 +85,41 @@ def crc_mod(column: Column | str, mod: int) -> Column:
     return F.crc32(F.coalesce(c.cast("string"), F.lit(""))) % mod
 
 
-def bounded_sample(rows: DataFrame, key: str, by: list[str], bound: int) -> DataFrame:
+#: Hashes that sampling compares are 62 bits wide.
+HASH_BITS = 62
+
+
+def sample_threshold(bound: int, count: int) -> int:
+    """Hashes below this make about ``bound`` of ``count`` rows; all, if there are fewer. Never 0 for a bound above 0:
+    a count would have to exceed 2^62 rows."""
+    return 1 << HASH_BITS if count <= bound else max(1, (bound << HASH_BITS) // count)
+
+
+def sample_thresholds(counts: list[tuple], bound: int) -> list[tuple]:
+    """(class, threshold) of each (class, count)."""
+    return [(*c[:-1], sample_threshold(bound, c[-1])) for c in counts]
+
+
+def bounded_sample(rows: DataFrame, key: str, by: list[str], bound: int, most_classes: int = 256) -> DataFrame:
     """About ``bound`` rows for each combination of ``by`` (all, if there are fewer), chosen by a hash of ``key``:
-    deterministic, without a sort, and with only counts on the driver. ``rows`` should hold narrow columns."""
-    counts = rows.groupBy(*by).count().collect()  # one row for each class
-    salted = F.pmod(F.xxhash64(F.col(key).cast("string"), F.lit("sample")), F.lit(1 << 20))
-    keep = F.lit(False)
-    for r in counts:
-        same = F.lit(True)
-        for c in by:
-            same &= F.col(c).eqNullSafe(F.lit(r[c]))
-        keep |= same & (salted < int(min(1.0, bound / r["count"]) * (1 << 20)))
-    return rows.where(keep)
+    deterministic and without a sort. Only the ``most_classes`` most frequent combinations (ties: the smaller first) have
+    rows in the sample, so that their counts, which go to the driver, and the sample are bounded. ``rows`` should be
+    narrow; rows with a null in ``by`` are left out."""
+    known = rows.dropna(subset=by)
+    counts = known.groupBy(*by).count().orderBy(F.desc("count"), *by).limit(most_classes).collect()
+    kinds = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in by)
+    below = rows.sparkSession.createDataFrame(sample_thresholds([tuple(r) for r in counts], bound), f"{kinds}, __below long")
+    salted = F.xxhash64(F.col(key).cast("string"), F.lit("sample")).bitwiseAND(F.lit((1 << HASH_BITS) - 1))
+    return known.join(F.broadcast(below), by).where(salted < F.col("__below")).select(*rows.columns)
+
+
+def one_text_each(docs: DataFrame, chosen: DataFrame, *more: str) -> DataFrame:
+    """(doc_id, text, more) for each doc_id of ``chosen``, a table that a sample's bound keeps small: of several rows with
+    one doc_id the one with the smallest hash of its text, so that repeated ids can't exceed the bound."""
+    rows = docs.select("doc_id", "text", *more).join(F.broadcast(chosen), "doc_id")
+    extra = [c for c in rows.columns if c not in ("doc_id", "text")]
+    first = F.min(F.struct(F.xxhash64("text").alias("__hash"), "text", *extra)).alias("__first")
+    return rows.groupBy("doc_id").agg(first).select("doc_id", "__first.text", *[f"__first.{c}" for c in extra])
 
 
 def plain_texts(column: pa.Array) -> pa.LargeStringArray:

@@ -7,7 +7,8 @@ Scoring is numpy over Arrow buffers, one pass, no shuffle.
 
 Defined results: null and empty texts have no features and score sigmoid(bias), like any text without known
 n-grams; labels other than 0 and 1 (or null) are not learned from; repeated label rows for a document count once, the
-larger label wins; without any label of one class the score is 0.0 for all. Extra columns of the input are kept out.
+larger label wins; of several documents with a labelled doc_id one is learned from; without any label of one class the
+score is 0.0 for all. Extra columns of the input are kept out.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .linear import fit_sparse_logistic, sigmoid
-from .shared import bounded_sample, crc_mod, lean, owners, release, table, text_chunks
+from .shared import bounded_sample, crc_mod, lean, one_text_each, owners, release, table, text_chunks
 
 BITS = 20
 ORDERS = (3, 4, 5, 6)
@@ -44,6 +45,20 @@ def gram_cells(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarr
             yield (cell, own) if inside.all() else (cell[inside], own[inside])
 
 
+def presence(data: np.ndarray, offsets: np.ndarray, used: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(text number, cell), sorted, of every cell that a text has, once whatever its n-grams' number or order; only cells
+    that are ``used``, if that is given. The features of both the fit and the scores."""
+    found = [np.zeros(0, np.int64)]
+    for cell, own in gram_cells(data, offsets):
+        if used is not None:
+            hit = np.flatnonzero(used[cell])
+            cell, own = cell[hit], own[hit]
+        found.append(own.astype(np.int64) << BITS | cell)
+    keys = np.sort(np.concatenate(found))
+    keys = keys[np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))] if len(keys) else keys
+    return keys >> BITS, keys & ((1 << BITS) - 1)
+
+
 @dataclass
 class ToxicityModel:
     weights: np.ndarray  # float32 for each cell, with the ratio multiplied in; 0 for cells that aren't used
@@ -56,49 +71,36 @@ class ToxicityModel:
             return out
         used = self.weights != 0
         for a, b, data, offsets in text_chunks(column):
-            z = np.full(b - a, self.bias)
-            for cell, own in gram_cells(data, offsets):
-                hit = used[cell]
-                there = np.unique(own[hit].astype(np.int64) << BITS | cell[hit])
-                z += np.bincount(there >> BITS, weights=self.weights[there & ((1 << BITS) - 1)], minlength=b - a)
-            out[a:b] = sigmoid(z)
+            own, cell = presence(data, offsets, used)
+            out[a:b] = sigmoid(self.bias + np.bincount(own, weights=self.weights[cell], minlength=b - a))
         return out
 
 
 def fit(texts: list[str | None], labels: np.ndarray, min_df: int = 4, min_ratio: float = 1.5, l2: float = 1e-3) -> ToxicityModel:
-    """Fits on texts in the driver's memory; the caller bounds their number."""
+    """Fits on texts in the driver's memory; the caller bounds their number. Texts are gone through twice, so that their
+    cells are never held whole."""
     y = np.asarray(labels, dtype=np.float64)
     width = 1 << BITS
     if not (0 < y.sum() < len(y)):
         return ToxicityModel(np.zeros(width, np.float32), 0.0, trained=False)
     column = pa.array(texts, pa.large_string())
-
-    def presence() -> Iterator[tuple[int, np.ndarray]]:
-        """(row, its different cells). Gone through twice, so that they are never held whole."""
-        mark = np.zeros(width, bool)
-        for a, b, data, offsets in text_chunks(column, 1 << 19):
-            grams = list(gram_cells(data, offsets))
-            ends = [np.searchsorted(own, np.arange(b - a + 1)) for _, own in grams]
-            for row in range(b - a):
-                for (cell, _), end in zip(grams, ends, strict=True):
-                    mark[cell[end[row] : end[row + 1]]] = True
-                cells = np.flatnonzero(mark)
-                mark[cells] = False
-                yield a + row, cells
-
     p, q = np.zeros(width), np.zeros(width)
-    for row, cells in presence():
-        (p if y[row] == 1 else q)[cells] += 1
+    for a, _, data, offsets in text_chunks(column, 1 << 18):
+        own, cell = presence(data, offsets)
+        toxic = y[a + own] == 1
+        p += np.bincount(cell[toxic], minlength=width)
+        q += np.bincount(cell[~toxic], minlength=width)
     # shares of documents that have the cell
     ratio = np.log((p + 1) / (y.sum() + 2)) - np.log((q + 1) / ((1 - y).sum() + 2))
-    chosen = np.flatnonzero((p + q >= min_df) & (np.abs(ratio) >= min_ratio))
-    number = np.full(width, -1, np.int32)
+    used = (p + q >= min_df) & (np.abs(ratio) >= min_ratio)
+    chosen = np.flatnonzero(used)
+    number = np.zeros(width, np.int32)
     number[chosen] = np.arange(len(chosen))
     kept, count = [np.zeros(0, np.int32)], np.zeros(len(y), np.int64)
-    for row, cells in presence():
-        used = number[cells]
-        kept.append(used[used >= 0])
-        count[row] = len(kept[-1])
+    for a, b, data, offsets in text_chunks(column, 1 << 18):
+        own, cell = presence(data, offsets, used)
+        kept.append(number[cell])
+        count[a:b] = np.bincount(own, minlength=b - a)
     indices = np.concatenate(kept)
     indptr = np.concatenate([[0], np.cumsum(count)])
     w, bias = fit_sparse_logistic(indptr, indices, ratio[chosen].astype(np.float32)[indices], y, len(chosen), l2)
@@ -109,11 +111,9 @@ def fit(texts: list[str | None], labels: np.ndarray, min_df: int = 4, min_ratio:
 
 def labelled_texts(docs: DataFrame, labels: DataFrame, label: str, held_out: Column, bound: int) -> tuple[list, np.ndarray]:
     """The texts and labels of about ``bound`` documents of each class, without those held out."""
-    known = labels.select(F.col("doc_id").alias("doc_id"), F.col(label).cast("int").alias("y")).where("y in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.max("y").alias("y")).where(~held_out)
-    chosen = bounded_sample(known, "doc_id", ["y"], bound)
-    # the sample has a bound in rows of two numbers, so that it can be broadcast
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "y").collect()
-    rows = sorted(rows, key=lambda r: (r["doc_id"], r["text"] or ""))
+    known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("y")).where("y in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.max("y").alias("y")).where(~held_out)
+    rows = one_text_each(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), bounded_sample(known, "doc_id", ["y"], bound)).collect()
+    rows = sorted(rows, key=lambda r: r["doc_id"])
     return [r["text"] for r in rows], np.array([r["y"] for r in rows], dtype=np.int64)
 
 

@@ -8,13 +8,13 @@ before each block. So a file gives, without being unpacked whole: ``access`` (th
 ``count`` (occurrences of an id in a range), ``select`` (place of an id's n-th occurrence), ``document`` and ``decode``.
 
 The byte-level pattern starts a new word at every space that follows no white space, at a comma or full stop after an
-ASCII letter, and around a single line break, so that texts are cut there (on bytes, in numpy); each different cut, known
-by a 64-bit hash, is encoded once by the library, many to a call, and kept in a bounded table of a worker. Texts with
+ASCII letter, and around a single line break, so that texts are cut there (on bytes, in numpy); each different cut is
+encoded once by the library, many to a call, and kept in a bounded table of a worker. Texts with
 special strings, or with a space at an end or after white space, are encoded by the library whole.
 
-Shards are ranges of doc_id: a range partition is written as one or more files of about ``shard_tokens`` ids. A file
-is written under a name of its own and then renamed, so that a task that runs again, or twice, does no harm. Files go
-to the shared folder; a small table (one row for each file) says where.
+Shards are ranges of doc_id: a range partition is written as one or more files of about ``shard_tokens`` ids. Every
+attempt of a task writes files of names of its own, and a small table (one row for each file), which only has what the
+attempts that counted gave, says where they are; files of lost attempts are read by nobody. Files go to the shared folder.
 
 Defined results: null texts count as empty and hold the end id only; rows with a null doc_id are left out; repeated
 doc_ids are documents of their own; empty tables give no file and no rows. Extra columns are kept out.
@@ -37,7 +37,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .cuts import CutTable, split_at, threads
-from .shared import cut, lean, new_path, table, text_chunks
+from .shared import cut, lean, new_path, store_of, table, text_chunks
 
 BLOCK_BITS = 1 << 18
 MAGIC = b"TWWM0001"
@@ -307,12 +307,6 @@ class WaveletFile:
 # --- Spark ---------------------------------------------------------------------------------------------------------
 
 
-def _store(path: str):
-    from pyarrow import fs
-
-    return fs.FileSystem.from_uri(path)
-
-
 def write(spark: SparkSession, docs: DataFrame, folder: str, tokenizer_path: str | None = None, end_id: int = 2, shard_tokens: int = 1 << 21) -> DataFrame:
     """Writes the files; gives (part, number, path, first_doc, n_tokens, n_docs), one row for each file."""
     with open(tokenizer_path or default_tokenizer(), encoding="utf-8") as f:
@@ -330,12 +324,11 @@ def write(spark: SparkSession, docs: DataFrame, folder: str, tokenizer_path: str
         def flush() -> pa.RecordBatch:
             starts = np.concatenate([[0], np.cumsum(lengths)[:-1]])
             body = build(np.concatenate(ids).astype(kind, copy=False), np.array(doc_ids, np.int64), starts)
-            path = f"{folder}/part-{part:06d}-{number:05d}.wm"
-            store, at = _store(path)
+            path = f"{folder}/part-{part:06d}-{number:05d}-{uuid.uuid4().hex}.wm"
+            store, at = store_of(path)
             store.create_dir(at.rpartition("/")[0], recursive=True)
-            with store.open_output_stream(own := f"{at}.{uuid.uuid4().hex}") as out:
+            with store.open_output_stream(at) as out:
                 out.write(body)
-            store.move(own, at)
             row = {"part": [part], "number": [number], "path": [path], "first_doc": [doc_ids[0]], "n_tokens": [sum(lengths)], "n_docs": [len(doc_ids)]}
             return pa.RecordBatch.from_pydict(row, pa.schema([("part", pa.int32()), ("number", pa.int32()), ("path", pa.string()), ("first_doc", pa.int64()), ("n_tokens", pa.int64()), ("n_docs", pa.int64())]))
 
@@ -367,7 +360,7 @@ def read(files: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for path, base in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                store, at = _store(path)
+                store, at = store_of(path)
                 with store.open_input_stream(at) as f:
                     file = WaveletFile(f.read())
                 ids = file.decode().astype("<u4")
