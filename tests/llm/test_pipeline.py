@@ -1,4 +1,5 @@
 import collections
+import hashlib
 import re
 
 import corpus_pipeline
@@ -87,3 +88,50 @@ def test_near_copies_at_080(spark):
         assert [got[i] for i in range(len(texts))] == want
     kept = {x["doc_id"] for x in simhash.keep_one(spark, docs, "").collect()}
     assert kept == set(want)
+
+
+def test_rows_that_stay_by_row_not_by_id(spark):
+    """Each case has words of its own, so that one run covers all; ids clash across cases, which must not matter."""
+    from tidewire.llm import simhash
+
+    def row(doc_id, text, case, source="s"):
+        text = text and " ".join(f"{w}{case}" for w in text.split())
+        return doc_id, text, "en", source, len(text or "")
+
+    a, b, c = ("alpha beta gamma delta epsilon zeta eta theta iota kappa", "one two three four five six seven eight nine ten eleven", "red green blue white black pink brown grey cyan gold")
+    cases = [  # rows, and those that stay
+        ([(3, a), (7, a), (7, b)], [(3, a), (7, b)]),
+        ([(5, a), (5, a)], [(5, a)]),
+        ([(None, a), (9, a), (None, b), (None, b)], [(9, a), (None, b)]),
+        ([(4, a), (4, b), (4, c), (2, a.upper())], [(2, a.upper()), (4, b), (4, c)]),
+        ([(None, a), (None, a.title())], [(None, min(a, a.title(), key=lambda t: hashlib.md5(" ".join(f"{w}4" for w in t.split()).encode()).hexdigest()))]),
+    ]
+    rows = [row(*r, k) for k, (given, _) in enumerate(cases) for r in given]
+    want = [row(*r, k) for k, (_, stay) in enumerate(cases) for r in stay]
+    rows += [row(5, a, "x", s) for s in "zam"] + [(1, None, "en", "s", 0), (2, "", "en", "s", 0), (3, " ", "en", "s", 1)]
+    want += [row(5, a, "x", "a"), (1, None, "en", "s", 0)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    out = simhash.keep_one(spark, spark.createDataFrame(rows, schema), "")
+    assert out.columns == [c.split()[0] for c in schema.split(", ")]
+    assert sorted((tuple(r) for r in out.collect()), key=str) == sorted(want, key=str)
+    assert simhash.keep_one(spark, spark.createDataFrame([], schema), "").count() == 0
+
+
+def test_large_groups_by_exact_similarity(spark):
+    """Families of hundreds whose pairs lie on both sides of 0.8: the result is that of all pairs."""
+    import numpy as np
+
+    from tidewire.llm import simhash
+
+    r, texts = np.random.default_rng(5), []
+    for spread in (3, 6, 9, 12):  # two members differ in up to twice as many words
+        words = [f"f{spread}x{x}" for x in r.integers(0, 5000, 204)]
+        texts += [edited(r, words, spread) for _ in range(90)]
+    want = list(range(len(texts)))
+    for i, j in sorted(near_pairs(texts)):
+        a, b = sorted((want[i], want[j]))
+        want = [a if x == b else x for x in want]
+    assert 4 < len(set(want)) < len(texts)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {x["doc_id"]: x["component_id"] for x in simhash.similar_texts(spark, docs, tile=32).collect()}
+    assert [got[i] for i in range(len(texts))] == want

@@ -12,17 +12,19 @@ documents link if any of them does. One is what op8's contract asks for.
 
 The pipeline's stage (:func:`similar_texts`) links texts whose sets of five-word shingles have a Jaccard similarity of
 0.8 or more, whatever their fingerprints. Candidates are op8's links and texts that share one of BANDS keys of ROWS
-minima each (a pair at 0.8 shares none with probability 3e-6); every candidate is confirmed on the exact sets. A bucket
-of equal keys gives all its pairs or, above ALL_PAIRS texts, a spanning tree of greatest estimated similarity: with exact
-similarities such a tree, cut below a threshold, has the components of all links above it; with estimates a link near 0.8
-may be missed if a pair of a higher estimate in its place is below 0.8.
+minima each (a pair at 0.8 shares none with probability 3e-6), if LEAST_EQUAL of their minima agree at least; every
+candidate is confirmed on the exact sets. That is done in two steps, so that a large group doesn't give all its pairs:
+first every text of a bucket meets the bucket's first text only; the links found give components; then, in the buckets that
+still hold several components, texts of different components meet. A pair within a component can't change the result.
 
 Only different fingerprints are joined (copies collapse first). A cell gives a spanning forest of its links, not all
 pairs; a cell with more than ``tile`` fingerprints is dealt out as pairs of blocks, so that no task gathers it whole.
 Every pair within the radius shares a cell, and a forest has the components of all links: nothing is lost.
 
 Defined results: null texts count as empty; texts without words have fingerprint zero and link like any other; null
-doc_ids are left out; repeated doc_ids give a row each. Extra columns of the input are kept out.
+doc_ids are left out of op8; repeated doc_ids give a row each. Extra columns of the input are kept out. The stage decides
+by row, not by doc_id: of a group's rows the one with the smallest doc_id stays (null ids last, then by a hash of the text),
+also where rows are equal in all columns or one doc_id has several texts; texts without words are one group.
 """
 
 from __future__ import annotations
@@ -34,11 +36,11 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import WORD, cut, lean, plain_texts, table
+from .shared import WORD, cut, drop_cut, lean, plain_texts, table
 
 RADIUS = 3
 GROUPS = 7
@@ -72,9 +74,12 @@ def shingles(words: list[bytes], size: int) -> Iterator[np.ndarray]:
         yield np.array([digest(joined[s:e], 42) for s, e in zip(starts[a:b], last[a:b], strict=True)], np.uint64)
 
 
-def fingerprint(text: bytes, size: int = 3, prints: int = 1) -> np.ndarray:
-    """The fingerprints of one text's UTF-8 bytes."""
-    words = FIND_WORDS(text.lower())  # bytes.lower() changes A-Z only
+def words_of(text: bytes) -> list[bytes]:
+    return FIND_WORDS(text.lower())  # bytes.lower() changes A-Z only
+
+
+def fingerprint(words: list[bytes], size: int = 3, prints: int = 1) -> np.ndarray:
+    """The fingerprints of one text's words."""
     if not words:
         return np.zeros(prints, np.uint64)
     n = max(1, len(words) - size + 1)
@@ -90,7 +95,7 @@ def fingerprints(docs: DataFrame, size: int = 3, prints: int = 1) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [fingerprint(t.as_buffer().to_pybytes(), size, prints) for t in plain_texts(batch.column(1))]
+            found = [fingerprint(words_of(t.as_buffer().to_pybytes()), size, prints) for t in plain_texts(batch.column(1))]
             flat = np.concatenate([np.zeros(0, np.uint64), *found]).view(np.int64)
             fps = pa.ListArray.from_arrays(pa.array(np.arange(len(found) + 1) * prints, pa.int32()), pa.array(flat, pa.int64()))
             yield pa.RecordBatch.from_arrays([batch.column(0), fps], names=["doc_id", "fps"])
@@ -229,15 +234,21 @@ BANDS, ROWS = 24, 4
 HASHES = BANDS * ROWS
 #: Equal minima from which a pair is a candidate: at a similarity of 0.8, 77 of 96 are expected, with a deviation of 4.
 LEAST_EQUAL = 60
-#: Buckets up to this size give all their candidate pairs, larger ones a tree.
-ALL_PAIRS = 64
 _XOR, _TIMES = (mixed(np.arange(HASHES, dtype=np.uint64), t)[:, None] | np.uint64(1) for t in (11, 12))
 
 
-def shingle_set(text: bytes) -> np.ndarray:
-    """The different hashes of five words in a row, sorted."""
-    words = FIND_WORDS(text.lower())
-    return np.unique(np.concatenate([*shingles(words, WORDS)])) if words else np.zeros(0, np.uint64)
+def shingle_set(words: list[bytes]) -> np.ndarray:
+    """The different hashes of five words in a row (of all, if there are fewer), sorted."""
+    if not words:
+        return np.zeros(0, np.uint64)
+    digest, size = xxhash.xxh64_intdigest, min(WORDS, len(words))
+    each = np.array([digest(w) for w in words], np.uint64)
+    n = len(words) - size + 1
+    h = np.full(n, size, np.uint64)
+    for k in range(size):
+        h = mixed(h ^ each[k : k + n], 14)
+    h.sort()
+    return h[np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))]
 
 
 def sketch(found: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -252,91 +263,82 @@ def sketch(found: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def sketches(docs: DataFrame) -> DataFrame:
-    """(doc_id, fps, same, bands, sketch): op8's fingerprint, a hash of the set, its keys and bytes."""
+    """(doc_id, text_key, fp, same, bands, sketch): op8's fingerprint, a hash of the set, its keys and bytes. text_key is
+    a hash of the text that the JVM can make again."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, 512):
                 batch = whole.slice(at, 512)
                 fps, same, bands, marks = [], [], [], []
-                for t in plain_texts(batch.column(1)):
-                    text = t.as_buffer().to_pybytes()
-                    found = shingle_set(text)
+                for t in plain_texts(batch.column(2)):
+                    words = words_of(t.as_buffer().to_pybytes())
+                    found = shingle_set(words)
                     keys, mark = sketch(found)
-                    fps.append(fingerprint(text).view(np.int64))
+                    fps.append(int(fingerprint(words).view(np.int64)[0]))
                     same.append(xxhash.xxh3_128_digest(found.tobytes()))
                     bands.append(keys.view(np.int64))
                     marks.append(mark.tobytes())
-                lists = [pa.array(x, pa.list_(pa.int64())) for x in (fps, bands)]
-                yield pa.RecordBatch.from_arrays([batch.column(0), lists[0], pa.array(same, pa.binary()), lists[1], pa.array(marks, pa.binary())], names=["doc_id", "fps", "same", "bands", "sketch"])
-
-    return docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(lean(run), "doc_id long, fps array<long>, same binary, bands array<long>, sketch binary")
-
-
-def _pairs(marks: np.ndarray, doc: np.ndarray) -> Iterator[tuple[int, int]]:
-    """All candidate pairs of a small bucket."""
-    for i in range(len(doc) - 1):
-        for j in np.flatnonzero(np.count_nonzero(marks[i + 1 :] == marks[i], axis=1) >= LEAST_EQUAL):
-            yield int(doc[i]), int(doc[i + 1 + j])
-
-
-def _tree(marks: np.ndarray, doc: np.ndarray) -> Iterator[tuple[int, int]]:
-    """Trees of greatest estimated similarity over one bucket, without links below LEAST_EQUAL."""
-    now, left = 0, np.arange(1, len(doc))
-    others = marks[1:].copy()
-    best, origin = np.zeros(len(left), np.int64), np.zeros(len(left), np.int64)
-    while len(left):
-        equal = np.count_nonzero(others == marks[now], axis=1)
-        nearer = equal >= best
-        best[nearer], origin[nearer] = equal[nearer], now
-        k = int(best.argmax())
-        now = left[k]
-        if best[k] >= LEAST_EQUAL:
-            yield int(doc[origin[k]]), int(doc[now])
-        last = len(left) - 1
-        if k < last:
-            left[k], best[k], origin[k] = left[last], best[last], origin[last]
-            others[k] = others[last]
-        left, best, origin, others = left[:last], best[:last], origin[:last], others[:last]
-
-
-def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Batches (key, part, doc_id, sketch) sorted by (key, part): trees of each run of equal keys."""
-    rest: list[np.ndarray] = [np.zeros(0, np.int64)] * 3 + [np.zeros((0, HASHES), np.uint8)]
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fps, pa.int64()), pa.array(same, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(marks, pa.binary())], names=["doc_id", "text_key", "fp", "same", "bands", "sketch"])
 
-    def linked(columns: list[np.ndarray]) -> pa.RecordBatch:
-        key, part, doc, marks = columns
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key(F.col("text")).alias("text_key"), "text")
+    return rows.mapInArrow(lean(run), "doc_id long, text_key string, fp long, same binary, bands array<long>, sketch binary")
+
+
+def text_key(text: Column) -> Column:
+    return F.md5(F.coalesce(text.cast("string"), F.lit("")))
+
+
+def _alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of (a, b, sketch of a, sketch of b), the (a, b) with enough equal minima."""
+    for batch in batches:
+        if batch.num_rows:
+            one, two = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, HASHES) for c in (2, 3))
+            keep = np.count_nonzero(one == two, axis=1) >= LEAST_EQUAL
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep))
+
+
+def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches (key, part, node, root, sketch) sorted by (key, part): in each run of equal keys the pairs of nodes of
+    different roots with enough equal minima."""
+    rest: list[np.ndarray] = [np.zeros(0, np.int64)] * 4 + [np.zeros((0, HASHES), np.uint8)]
+
+    def linked(columns: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        key, part, node, root, marks = columns
         at = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (part[1:] != part[:-1]), [True]])) if len(key) else np.zeros(1, np.int64)
-        size = np.diff(at)
-        two = at[:-1][size == 2]
-        two = two[np.count_nonzero(marks[two] == marks[two + 1], axis=1) >= LEAST_EQUAL]
-        a, b = doc[two], doc[two + 1]
-        more = [x for s, n in zip(at[:-1][size > 2], size[size > 2], strict=True) for x in (_pairs if n <= ALL_PAIRS else _tree)(marks[s : s + n], doc[s : s + n])]
-        if more:
-            found = np.array(more, np.int64)
-            a, b = np.concatenate([a, found[:, 0]]), np.concatenate([b, found[:, 1]])
-        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+        found: list[np.ndarray] = []
+        for s, e in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
+            for i in range(s, e - 1):
+                other = np.flatnonzero(root[i + 1 : e] != root[i]) + i + 1
+                near = other[np.count_nonzero(marks[other] == marks[i], axis=1) >= LEAST_EQUAL]
+                if len(near):
+                    found.append(np.stack([np.minimum(node[near], node[i]), np.maximum(node[near], node[i])]))
+                if len(found) >= 4096:
+                    yield pa.RecordBatch.from_arrays(list(map(pa.array, np.unique(np.concatenate(found, 1), axis=1))), names=["a", "b"])
+                    found = []
+        if found:
+            yield pa.RecordBatch.from_arrays(list(map(pa.array, np.unique(np.concatenate(found, 1), axis=1))), names=["a", "b"])
 
     for batch in batches:
         if not batch.num_rows:
             continue
-        marks = np.frombuffer(b"".join(batch.column(3).to_pylist()), np.uint8).reshape(-1, HASHES)
-        columns = [c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns[:3]] + [marks]
+        marks = np.frombuffer(b"".join(batch.column(4).to_pylist()), np.uint8).reshape(-1, HASHES)
+        columns = [c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns[:4]] + [marks]
         columns = [np.concatenate([r, c]) for r, c in zip(rest, columns, strict=True)]
         last = np.flatnonzero((columns[0] != columns[0][-1]) | (columns[1] != columns[1][-1]))
         begin = int(last[-1]) + 1 if len(last) else 0
         rest = [c[begin:] for c in columns]
         if begin:
-            yield linked([c[:begin] for c in columns])
-    yield linked(rest)
+            yield from linked([c[:begin] for c in columns])
+    yield from linked(rest)
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for whole in batches:
         for at in range(0, whole.num_rows, 512):
             batch = whole.slice(at, 512)
-            found = [shingle_set(t.as_buffer().to_pybytes()).tobytes() for t in plain_texts(batch.column(1))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], names=["doc_id", "found"])
+            found = [shingle_set(words_of(t.as_buffer().to_pybytes())).tobytes() for t in plain_texts(batch.column(1))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], names=["node", "found"])
 
 
 def _confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -345,35 +347,80 @@ def _confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keep = []
         for x, y in zip(batch.column(2), batch.column(3), strict=True):
             one, two = (np.frombuffer(s.as_buffer(), np.uint64) if s.as_buffer().size else np.zeros(0, np.uint64) for s in (x, y))
-            both = len(np.intersect1d(one, two, assume_unique=True))
+            both = len(np.intersect1d(one, two, assume_unique=True)) if 5 * min(len(one), len(two)) >= 4 * max(len(one), len(two)) else 0
             keep.append(5 * both >= 4 * (len(one) + len(two) - both))
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
-def similar_texts(spark: SparkSession, docs: DataFrame, tile: int = 2048) -> DataFrame:
-    """(doc_id, component_id): components of the texts with a five-word similarity of 0.8 or more."""
+def _ordered(pairs: DataFrame) -> DataFrame:
+    return pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def grouped(spark: SparkSession, docs: DataFrame, tile: int = 2048) -> tuple[DataFrame, DataFrame]:
+    """Rows (doc_id, text_key, same) and groups (same, first: the doc_id and text_key of the component's row that is kept)
+    of the texts with a five-word similarity of 0.8 or more."""
     every = cut(spark, sketches(docs), "sketches")
-    first = F.min(F.struct("doc_id", "fps", "bands", "sketch")).alias("first")
-    nodes = cut(spark, every.groupBy("same").agg(first).select("same", "first.*"), "distinct-sets")
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    keys = _dealt(spark, nodes.select(F.explode("bands").alias("key"), "doc_id", "sketch"), "doc_id", tile)
-    shared = keys.repartition(n, "key", "part").sortWithinPartitions("key", "part", "doc_id").mapInArrow(lean(_candidates), "a long, b long")
-    prints = nodes.select("doc_id", F.lit(0).alias("print"), F.col("fps")[0].alias("fp"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key", "fp")).alias("first")
+    sets = every.groupBy("same").agg(first, F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
+    # a number for each different set, which the table keeps
+    nodes = cut(spark, sets.withColumn("node", F.monotonically_increasing_id()), "distinct-sets")
+
+    # texts of the different sets that meet another one, by node
+    def confirmed(pairs: DataFrame) -> DataFrame:
+        ids = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+        wanted = nodes.join(ids, "node").select("node", F.col("first.doc_id").alias("__doc"), F.col("first.text_key").alias("__key"))
+        texts = docs.select(F.col("doc_id").cast("long").alias("__doc"), text_key(F.col("text")).alias("__key"), "text")
+        texts = texts.join(wanted.withColumnsRenamed({"__doc": "d", "__key": "k"}), F.col("__doc").eqNullSafe(F.col("d")) & (F.col("__key") == F.col("k")))
+        found = cut(spark, texts.select("node", "text").mapInArrow(lean(_sets), "node long, found binary").dropDuplicates(["node"]), "shingle-sets")
+        both = pairs.join(found.toDF("a", "one"), "a").join(found.toDF("b", "two"), "b").select("a", "b", "one", "two")
+        out = cut(spark, both.mapInArrow(lean(_confirmed), "a long, b long"), "confirmed")
+        drop_cut(spark, found)
+        return out
+
+    # step one: each text of a bucket and the bucket's first, and op8's links
+    keys = nodes.select(F.explode("bands").alias("key"), "node")
+    buckets = keys.groupBy("key").agg(F.min("node").alias("pivot"), F.max("node").alias("last")).where("pivot < last").select("key", "pivot")
+    members = cut(spark, keys.join(buckets, "key"), "bucket-members")
+    marks = nodes.select("node", "sketch")
+    stars = _ordered(members.select(F.col("pivot").alias("a"), F.col("node").alias("b")))
+    stars = stars.join(marks.toDF("a", "one"), "a").join(marks.toDF("b", "two"), "b").select("a", "b", "one", "two").mapInArrow(lean(_alike), "a long, b long")
+    prints = nodes.select(F.col("node").alias("doc_id"), F.lit(0).alias("print"), F.col("first.fp").alias("fp"))
     each = cut(spark, prints.groupBy("print", "fp").agg(F.min("doc_id").alias("doc_id")), "single-fingerprints")
-    equal = prints.join(each.withColumnRenamed("doc_id", "first"), ["print", "fp"]).select(F.col("doc_id").alias("a"), F.col("first").alias("b"))
-    pairs = shared.unionByName(links(spark, each)).unionByName(equal).where("a <> b")
-    pairs = cut(spark, pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "candidates")
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(ids, "doc_id")
-    sets = cut(spark, texts.select("doc_id", "text").mapInArrow(lean(_sets), "doc_id long, found binary"), "shingle-sets")
-    both = pairs.join(sets.toDF("a", "one"), "a").join(sets.toDF("b", "two"), "b").select("a", "b", "one", "two")
-    found = both.mapInArrow(lean(_confirmed), "a long, b long")
-    roots = components(spark, found).select(F.col("node").alias("doc_id"), "root")
-    named = nodes.join(roots, "doc_id", "left").select("same", F.coalesce("root", "doc_id").alias("component_id"))
-    return every.select("doc_id", "same").join(named, "same").select("doc_id", "component_id")
+    equal = prints.join(each.withColumnRenamed("doc_id", "other"), ["print", "fp"]).select(F.col("doc_id").alias("a"), F.col("other").alias("b"))
+    one = confirmed(cut(spark, _ordered(stars.unionByName(links(spark, each)).unionByName(equal)), "candidates"))
+    roots = cut(spark, components(spark, one), "roots")
+    # step two: texts of different components in one bucket
+    placed = members.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
+    several = placed.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key")
+    rows = _dealt(spark, placed.join(several, "key").join(marks, "node").select("key", "node", "root", "sketch"), "node", tile)
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    across = rows.repartition(n, "key", "part").sortWithinPartitions("key", "part").mapInArrow(lean(_across), "a long, b long")
+    pairs = cut(spark, _ordered(across), "candidates")
+    if pairs.limit(1).count():
+        roots = cut(spark, components(spark, one.unionByName(confirmed(pairs))), "roots")
+    named = nodes.join(roots, "node", "left").select("same", "first", F.coalesce("root", "node").alias("root"))
+    kept = named.groupBy("root").agg(F.min("first").alias("first"))
+    return every.select("doc_id", "text_key", "same"), named.select("same", "root").join(kept, "root").select("same", "first")
+
+
+def similar_texts(spark: SparkSession, docs: DataFrame, tile: int = 2048) -> DataFrame:
+    """(doc_id, component_id): components of the texts with a five-word similarity of 0.8 or more."""
+    rows, groups = grouped(spark, docs, tile)
+    return rows.join(groups, "same").select("doc_id", F.col("first.doc_id").alias("component_id"))
 
 
 def keep_one(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: of each group of :func:`similar_texts` the document with the smallest doc_id stays."""
-    gone = similar_texts(spark, docs).where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """Pipeline stage: one row of each group of :func:`similar_texts` stays, that with the smallest doc_id. Of rows equal
+    in doc_id and text, the smallest in the other columns does."""
+    rows, groups = grouped(spark, docs)
+    fate = rows.groupBy("doc_id", "text_key").agg(F.first("same").alias("same"), F.count("*").alias("n")).join(groups, "same")
+    stays = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("text_key") == F.col("first.text_key"))
+    fate = cut(spark, fate.select(F.col("doc_id").alias("__d"), F.col("text_key").alias("__k"), stays.alias("__stays"), "n").where("not __stays or n > 1"), "fates")
+    names = docs.columns
+    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("__row"), F.col("doc_id").cast("long").alias("__doc"), text_key(F.col("text")).alias("__key"))
+    same = F.col("__doc").eqNullSafe(F.col("__d")) & (F.col("__key") == F.col("__k"))
+    out = keyed.join(fate, same, "left_anti").select("__row")
+    if fate.where("__stays").limit(1).count():
+        repeated = keyed.join(fate.where("__stays"), same).groupBy("__doc", "__key").agg(F.min("__row").alias("__row"))
+        out = out.unionByName(repeated.select("__row"))
+    return out.select(*[F.col(f"__row.`{c}`").alias(c) for c in names])
