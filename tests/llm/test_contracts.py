@@ -272,3 +272,43 @@ def test_extract(spark, tables):
 
 def test_oracles_are_registered():
     assert set(ORACLES) <= set(QUERIES)
+
+
+def test_mixing_of_many_sources(spark):
+    """A hundred thousand sources, null and repeated ids, and a source with a third of all rows."""
+    from tidewire.llm import mixing
+
+    docs = spark.range(160_000).selectExpr(
+        "if(id % 7 = 0, null, if(id % 5 = 0, 11, id)) as doc_id",
+        "concat('w', id, ' x', if(id % 3 = 0, ' y z', '')) as text",
+        "if(id >= 100000, 'hot', if(id = 5, null, concat('s', id))) as source",
+    )
+    sized = mixing.cut(spark, mixing.sizes(docs), "sizes")
+    out = mixing.apply_plan(sized, mixing.plan(spark, sized, most_shards=8))
+    taken = F.expr("aggregate(takes, 0L, (s, t) -> s + t.words)")
+    bad = out.where((taken > 2 * F.col("size")) | (taken < 0)).count()
+    sums = out.groupBy("src").agg(F.sum(taken).alias("taken"), F.first("target").alias("target"), F.count("*").alias("n"))
+    assert bad == 0 and sums.count() == 100_001 and sums.where("abs(taken - target) > 1").count() == 0
+    shards = out.select(F.explode("takes").alias("t")).groupBy("t.shard").count().collect()
+    assert len(shards) == 8
+
+
+def test_tree_in_groups(spark):
+    """Groups of sources: exact counts, level shards, and a source's share of a shard as in the plain distribution."""
+    from tidewire.llm import mixing
+
+    quotas = {k: 40 if k == 3 else 1 + k % 4 for k in range(30)}
+    df = spark.createDataFrame(list(quotas.items()), "number int, quota long")
+    total, seen = sum(quotas.values()), []
+    for seed in range(12):
+        rows = mixing.tree(spark, df, 4, seed=seed, group_sources=4 if seed % 2 else 1024).collect()
+        per_source, per_shard = collections.Counter(), collections.Counter()
+        for r in rows:
+            assert r["count"] > 0
+            per_source[r["number"]] += r["count"]
+            per_shard[r["shard"]] += r["count"]
+            if r["number"] == 3:
+                seen.append(r["count"])
+        assert dict(per_source) == quotas and max(per_shard.values()) - min(per_shard.values()) <= 2
+    # 48 draws of a mean of 10 and a variance of about 10 * (1 - 40 / total) * 0.75
+    assert len(seen) >= 47 and abs(sum(seen) / 48 - 10) < 1e-9 and 2 < np.var(seen) < 13 and total > 80

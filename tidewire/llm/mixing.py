@@ -5,17 +5,21 @@
    (solved at once over the sources in order of size by weight).
 2. The documents of a source are dealt by a hash into blocks (about ``block_words`` words each, ``most_blocks`` at
    most). A source's blocks are drawn in a permuted order, pass after pass, until its target; this fixes the source's
-   exact quota of blocks. The last block is taken in part: whole documents in a permuted order, then the first words
-   of one more. So the words taken are the target, rounded.
+   exact quota of blocks. The last block is taken in part: its documents are dealt into ``SUB_BLOCKS`` smaller blocks,
+   taken whole in a permuted order, and in the last of these whole documents in a permuted order, then the first words
+   of one more. So the words taken are the target, rounded (where several rows equal in doc_id and text are the last,
+   each gives the same number of words, and fewer words than there are such rows may be missing).
 3. Multivariate-hypergeometric splitting tree: the root holds the quotas of all sources; each node gives half of its
    output shards, and as many blocks as fall on them, to its left child, the composition drawn from the multivariate
    hypergeometric distribution (source by source, each from the hypergeometric distribution given those before,
-   by inversion), the rest to the right child. A leaf is an output shard with exact counts of blocks of each source.
+   by inversion), the rest to the right child. Sources are drawn in groups of ``GROUP_SOURCES``, first the groups' counts
+   and then each group's own, which is the same distribution, so that no row holds more than a group; sources that have
+   no block at a node are left out there. A leaf is an output shard with exact counts of blocks of each source.
 4. A shard takes its count of the source's permuted draws, disjoint from other shards', and is shuffled locally.
 
-All draws come from hashes of ids and a seed: reruns agree, on any number of tasks. A source's documents meet only
-block by block; windows run over blocks (at most ``most`` x ``most_blocks`` a source), over one last block's
-documents a source, and over the sources.
+All draws come from hashes of ids, texts and a seed: reruns agree, on any number of tasks. Null or repeated ids spread by
+their texts. Windows run over narrow rows only: blocks (at most ``most`` x ``most_blocks`` a source), sub-blocks, the
+documents of one sub-block a source, and the sources. Rows with texts are only joined with what these decide.
 
 Defined results: null texts have size 0 and take 0; a null source is a source of its own, last in the order; a null
 doc_id is a document like any other; repeated rows are documents of their own; a source of size 0 has target 0; empty
@@ -54,8 +58,8 @@ def targets(sized: DataFrame, share: float = 1.5, most: int = 2, weights: tuple[
     # in order of cap by weight, a source is at its cap if that is under its share of what those before left
     order = W.partitionBy(F.lit(0)).orderBy(F.col("cap") / F.col("weight"), "number")
     before = order.rowsBetween(W.unboundedPreceding, -1)
-    after = order.rowsBetween(0, W.unboundedFollowing)
-    level = (F.sum("source_size").over(everything) * share - F.coalesce(F.sum("cap").over(before), F.lit(0))) / F.sum("weight").over(after)
+    # what is left to share, by the weights that are left: a frame to the end would cost the square of the sources
+    level = (F.sum("source_size").over(everything) * share - F.coalesce(F.sum("cap").over(before), F.lit(0))) / (F.sum("weight").over(everything) - F.coalesce(F.sum("weight").over(before), F.lit(0)))
     solved = caps.withColumn("level", level).withColumn("rank", F.row_number().over(order))
     free = F.col("cap") > F.col("weight") * F.col("level")
     solved = solved.withColumn("shared", F.min_by(F.when(free, F.col("level")), F.when(free, F.col("rank"))).over(everything))
@@ -63,12 +67,24 @@ def targets(sized: DataFrame, share: float = 1.5, most: int = 2, weights: tuple[
     return solved.select("src", F.col("number").cast("int").alias("number"), "source_size", target.alias("target"))
 
 
-def block_of(doc_id: Column, blocks: Column, seed: int) -> Column:
-    return F.pmod(F.xxhash64(F.coalesce(doc_id.cast("string"), F.lit("")), F.lit("block"), F.lit(seed)), blocks).cast("int")
+SUB_BLOCKS = 4096
 
 
-def doc_order(doc_id: Column, copy: Column, seed: int) -> Column:
-    return F.xxhash64(F.coalesce(doc_id.cast("string"), F.lit("")), copy, F.lit("order"), F.lit(seed))
+def mark(doc_id: Column, text: Column) -> Column:
+    """What a row is drawn by."""
+    return F.xxhash64(F.coalesce(doc_id.cast("string"), F.lit("")), F.coalesce(text, F.lit("")))
+
+
+def block_of(mark: Column, blocks: Column, seed: int) -> Column:
+    return F.pmod(F.xxhash64(mark, F.lit("block"), F.lit(seed)), blocks).cast("int")
+
+
+def sub_block(mark: Column, seed: int) -> Column:
+    return F.pmod(F.xxhash64(mark, F.lit("sub"), F.lit(seed)), F.lit(SUB_BLOCKS)).cast("int")
+
+
+def row_order(mark: Column, copy: Column, seed: int) -> Column:
+    return F.xxhash64(mark, copy, F.lit("order"), F.lit(seed))
 
 
 #: One draw x of the hypergeometric distribution: picks drawn of a pool, of which own are of the source; u is uniform in [0, 1).
@@ -90,47 +106,66 @@ transform(array({_RANGE}), t -> transform(array(named_struct('pool', t.pool, 'ow
 """
 
 
-def split(level: DataFrame, seed: int) -> DataFrame:
-    """One level of the tree: (node, shards, quotas) to the two children of every node with several shards."""
-    # a node with s shards and n blocks gives floor(s / 2) shards and floor(n * that / s) blocks to the left
-    u = f"(shiftrightunsigned(xxhash64('tree', {seed}, node, i), 11) / 9007199254740992D)"
+#: Sources whose counts stand in one row.
+GROUP_SOURCES = 1024
+
+
+def halve(rows: DataFrame, label: str, seed: int) -> DataFrame:
+    """Adds ``left`` to rows (node, grp, items: array of number and quota, want): how many of each item's quota are among
+    ``want`` drawn from all."""
+    u = f"(shiftrightunsigned(xxhash64('{label}', {seed}, node, item.number), 11) / 9007199254740992D)"
     left = f"""
-    aggregate(sequence(0, size(quotas) - 1),
-      named_struct('left', cast(array() as array<bigint>), 'picks', want, 'pool', total),
-      (s, i) -> transform(transform(array(named_struct('pool', s.pool, 'own', quotas[i], 'picks', s.picks, 'u', {u})), t -> {_DRAW}),
-        x -> named_struct('left', concat(s.left, array(x)), 'picks', s.picks - x, 'pool', s.pool - quotas[i]))[0],
+    aggregate(items,
+      named_struct('left', cast(array() as array<bigint>), 'picks', want, 'pool', aggregate(items, 0L, (s, t) -> s + t.quota)),
+      (s, item) -> transform(transform(array(named_struct('pool', s.pool, 'own', item.quota, 'picks', s.picks, 'u', {u})), t -> {_DRAW}),
+        x -> named_struct('left', concat(s.left, array(x)), 'picks', s.picks - x, 'pool', s.pool - item.quota))[0],
       s -> s.left)
     """
-    total = level.withColumn("total", F.expr("aggregate(quotas, 0L, (s, q) -> s + q)"))
-    want = total.withColumn("want", F.expr("cast(floor(total * (shards div 2) / shards) as bigint)"))
-    halves = want.withColumn("left", F.expr(left))
-    return halves.select(
-        F.explode(
-            F.expr("""if(shards = 1, array(named_struct('node', node * 2, 'shards', 1L, 'quotas', quotas)), array(
-              named_struct('node', node * 2, 'shards', shards div 2, 'quotas', left),
-              named_struct('node', node * 2 + 1, 'shards', shards - shards div 2, 'quotas', zip_with(quotas, left, (q, l) -> q - l))))""")
-        ).alias("c")
-    ).select("c.*")
-
-
-def tree(spark: SparkSession, quotas: DataFrame, shards: int, seed: int) -> DataFrame:
-    """(number, shard, count): ``quotas`` has number (of a source) and quota."""
-    placed = quotas.withColumn("pos", F.row_number().over(W.orderBy("number")) - 1)
-    root = placed.groupBy(F.lit(0).alias("g")).agg(F.array_sort(F.collect_list(F.struct("pos", "quota"))).alias("all"))
-    level = root.select(F.lit(1).cast("long").alias("node"), F.lit(shards).cast("long").alias("shards"), F.expr("transform(all, q -> q.quota)").alias("quotas"))
+    return rows.withColumn("left", F.expr(left))
+
+
+def split(level: DataFrame, groups: int, seed: int) -> DataFrame:
+    """One level of the tree: (node, shards, grp, items) to the two children of every node with several shards."""
+    # a node with s shards and n blocks gives floor(s / 2) shards and floor(n * that / s) blocks to the left
+    share = F.expr("cast(floor(total * (shards div 2) / shards) as bigint)")
+    summed = level.withColumn("total", F.expr("aggregate(items, 0L, (s, t) -> s + t.quota)"))
+    if groups == 1:
+        wanted = summed.withColumn("want", share)
+    else:
+        totals = summed.groupBy("node", "shards").agg(F.array_sort(F.collect_list(F.struct(F.col("grp").alias("number"), F.col("total").alias("quota")))).alias("items"), F.sum("total").alias("total"))
+        drawn = halve(totals.withColumn("want", share), "group", seed).select("node", F.explode(F.arrays_zip("items", "left")).alias("g"))
+        wanted = level.join(drawn.select("node", F.col("g.items.number").alias("grp"), F.col("g.left").alias("want")), ["node", "grp"])
+    halves = halve(wanted, "tree", seed)
+    children = F.expr("""if(shards = 1, array(named_struct('node', node * 2, 'shards', 1L, 'items', items)), array(
+      named_struct('node', node * 2, 'shards', shards div 2, 'items', zip_with(items, left, (t, l) -> named_struct('number', t.number, 'quota', l))),
+      named_struct('node', node * 2 + 1, 'shards', shards - shards div 2, 'items', zip_with(items, left, (t, l) -> named_struct('number', t.number, 'quota', t.quota - l)))))""")
+    each = halves.select("grp", F.explode(children).alias("c")).select("c.node", "c.shards", "grp", F.expr("filter(c.items, t -> t.quota > 0)").alias("items"))
+    return each.where(F.size("items") > 0)
+
+
+def tree(spark: SparkSession, quotas: DataFrame, shards: int, seed: int, group_sources: int = GROUP_SOURCES) -> DataFrame:
+    """(number, shard, count), counts above 0: ``quotas`` has number (of a source) and quota."""
+    item = F.struct(F.col("number").cast("long").alias("number"), F.col("quota").cast("long").alias("quota"))
+    grouped = quotas.where("quota > 0").groupBy(F.expr(f"cast(number div {group_sources} as bigint)").alias("grp")).agg(F.array_sort(F.collect_list(item)).alias("items"))
+    level = cut(spark, grouped.select(F.lit(1).cast("long").alias("node"), F.lit(shards).cast("long").alias("shards"), "grp", "items"), "tree")
+    groups = level.count()
     for _ in range(max(0, (shards - 1).bit_length())):
-        level = cut(spark, split(level, seed), "tree")
-    leaves = level.withColumn("shard", F.row_number().over(W.orderBy("node")) - 1)  # one row for each output shard
-    counts = leaves.select("shard", F.posexplode("quotas").alias("pos", "count"))
-    return counts.join(placed.select("pos", "number"), "pos").select("number", "shard", "count")
+        level = cut(spark, split(level, groups, seed), "tree")
+    # output shards by number, one row each; a shard without a block has none
+    leaves = level.select("node").distinct().withColumn("shard", F.row_number().over(W.orderBy("node")) - 1)
+    counts = level.select("node", F.explode("items").alias("t")).join(leaves, "node")
+    return counts.select(F.col("t.number").cast("int").alias("number"), "shard", F.col("t.quota").alias("count"))
 
 
-def plan(spark: SparkSession, sized: DataFrame, share: float = 1.5, most: int = 2, block_words: int = 1 << 16, most_blocks: int = 4096, shard_blocks: int = 64, most_shards: int = 1024, seed: int = 17) -> tuple[DataFrame, DataFrame]:
-    """``sized`` has src, source, doc_id, size. Gives the sources (src, number, source_size, target, blocks) and the
+def plan(spark: SparkSession, sized: DataFrame, share: float = 1.5, most: int = 2, block_words: int = 1 << 16, most_blocks: int = 4096, shard_blocks: int = 64, most_shards: int = 1024, seed: int = 17) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """``sized`` has src, source, doc_id, mark, size. Gives the sources (src, number, source_size, target, blocks), the
     draws: for each block that is drawn (src, block, draws: array of copy and shard for whole draws, edge: the draw in
-    part with copy, shard and words, or null)."""
+    part with copy, shard and words, or null), the sub-blocks of the edges (src, sub, words: what is taken of one that is
+    taken in part, null of one taken whole) and the documents of those in part (src, sub, mark, part: words)."""
     sources = cut(spark, targets(sized, share, most).withColumn("blocks", F.least(F.greatest(F.ceil(F.col("source_size") / block_words), F.lit(1)), F.lit(most_blocks)).cast("int")), "sources")
-    blocks = sized.join(sources.select("src", "number", "target", "blocks"), "src").groupBy("src", "number", "target", block_of(F.col("doc_id"), F.col("blocks"), seed).alias("block")).agg(F.sum("size").alias("words")).where("words > 0")
+    small = F.broadcast if sources.count() <= BROADCAST_ROWS else (lambda df: df)
+    blocked = sized.join(small(sources.select("src", "number", "target", "blocks")), "src").withColumn("block", block_of(F.col("mark"), F.col("blocks"), seed))
+    blocks = blocked.groupBy("src", "number", "target", "block").agg(F.sum("size").alias("words")).where("words > 0")
     order = W.partitionBy("src").orderBy("copy", F.xxhash64("block", "copy", F.lit("permute"), F.lit(seed)), "block")
     passes = blocks.withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(most - 1))))
     passes = passes.withColumn("before", F.sum("words").over(order) - F.col("words")).withColumn("rank", F.row_number().over(order) - 1)
@@ -139,42 +174,54 @@ def plan(spark: SparkSession, sized: DataFrame, share: float = 1.5, most: int =
     quotas = drawn.groupBy("number").agg(F.count("*").alias("quota"))
     total = drawn.count()
     shards = max(1, min(most_shards, -(-total // shard_blocks)))
-    counts = tree(spark, quotas, shards, seed)
     first = F.sum("count").over(W.partitionBy("number").orderBy("shard")) - F.col("count")
-    ranks = counts.withColumn("first", first).where("count > 0").select("number", "shard", F.explode(F.expr("sequence(cast(first as int), cast(first + count - 1 as int))")).alias("rank"))
+    ranks = tree(spark, quotas, shards, seed).withColumn("first", first).select("number", "shard", F.explode(F.expr("sequence(cast(first as int), cast(first + count - 1 as int))")).alias("rank"))
     dealt = drawn.join(ranks, ["number", "rank"])
     whole = F.col("taken") == F.col("words")
     draws = dealt.groupBy("src", "block").agg(
         F.array_sort(F.collect_list(F.when(whole, F.struct("copy", "shard")))).alias("draws"),
         F.first(F.when(~whole, F.struct("copy", "shard", F.col("taken").alias("words"))), ignorenulls=True).alias("edge"),
     )
-    return sources, cut(spark, draws, "draws")
-
-
-def apply_plan(docs: DataFrame, sources: DataFrame, draws: DataFrame, seed: int = 17) -> DataFrame:
-    """Adds source_size, target and takes (array of copy, shard, words) to ``docs``, which has src, doc_id, size."""
-    few = draws.count() <= BROADCAST_ROWS and sources.count() <= BROADCAST_ROWS
-    hint = F.broadcast if few else (lambda df: df)
-    named = docs.join(hint(sources.select("src", "source_size", "target", "blocks")), "src")
-    named = named.withColumn("block", block_of(F.col("doc_id"), F.col("blocks"), seed)).join(hint(draws), ["src", "block"], "left")
-    named = named.withColumn("takes", F.expr("transform(coalesce(draws, array()), d -> named_struct('copy', d.copy, 'shard', d.shard, 'words', size))"))
-    # one last block for each source has its documents in order
-    order = W.partitionBy("src").orderBy(doc_order(F.col("doc_id"), F.col("edge.copy"), seed), "doc_id", "size")
-    last = named.where("edge is not null").withColumn("rest", F.col("edge.words") - (F.sum("size").over(order.rowsBetween(W.unboundedPreceding, 0)) - F.col("size")))
-    part = F.least("size", "rest")
-    more = F.array(F.struct(F.col("edge.copy").alias("copy"), F.col("edge.shard").alias("shard"), part.alias("words")))
-    last = last.withColumn("takes", F.when(part > 0, F.concat("takes", more)).otherwise(F.col("takes")))
-    return named.where("edge is null").unionByName(last.drop("rest")).withColumn("takes", F.filter("takes", lambda t: t["words"] > 0)).drop("blocks", "block", "draws", "edge")
+    draws = cut(spark, draws, "draws")
+    # one block of a source at most is taken in part
+    edges = draws.where("edge is not null").select("src", "block", F.col("edge.words").alias("want"), F.col("edge.copy").alias("copy"))
+    inside = blocked.select("src", "block", "doc_id", "mark", "size").join(small(edges), ["src", "block"]).where("size > 0").withColumn("sub", sub_block(F.col("mark"), seed))
+    order = W.partitionBy("src").orderBy(F.xxhash64("sub", "copy", F.lit("permute"), F.lit(seed)), "sub")
+    subs = inside.groupBy("src", "sub", "want", "copy").agg(F.sum("size").alias("all"))
+    subs = subs.withColumn("rest", F.col("want") - (F.sum("all").over(order) - F.col("all"))).where("rest > 0")
+    subs = cut(spark, subs.select("src", "sub", F.when(F.col("rest") < F.col("all"), F.col("rest")).alias("words")), "sub-blocks")
+    # and one sub-block; equal rows count as one of several times the size
+    last = inside.join(small(subs.where("words is not null")), ["src", "sub"])
+    units = last.groupBy("src", "sub", "words", "mark", row_order(F.col("mark"), F.col("copy"), seed).alias("key"), "size").agg(F.count("*").alias("n"))
+    order = W.partitionBy("src").orderBy(F.desc("n"), "key", "mark", "size")
+    units = units.withColumn("rest", F.col("words") - (F.sum(F.col("size") * F.col("n")).over(order) - F.col("size") * F.col("n"))).where("rest > 0")
+    parts = units.select("src", "sub", "mark", F.least(F.col("size"), F.floor(F.col("rest") / F.col("n"))).cast("long").alias("part"))
+    return sources, draws, subs, cut(spark, parts.groupBy("src", "sub", "mark").agg(F.min("part").alias("part")), "parts")
+
+
+def apply_plan(docs: DataFrame, planned: tuple[DataFrame, DataFrame, DataFrame, DataFrame], seed: int = 17) -> DataFrame:
+    """Adds source_size, target and takes (array of copy, shard, words) to ``docs``, which has src, mark and size. Every
+    table that is joined is broadcast if it is small, whatever the others are."""
+    sources, draws, subs, parts = (F.broadcast(df) if df.count() <= BROADCAST_ROWS else df for df in planned)
+    named = docs.join(sources.select("src", "source_size", "target", "blocks"), "src")
+    named = named.withColumn("block", block_of(F.col("mark"), F.col("blocks"), seed)).join(draws, ["src", "block"], "left")
+    named = named.withColumn("sub", F.when(F.col("edge").isNotNull(), sub_block(F.col("mark"), seed)))
+    named = named.join(subs.withColumn("__in", F.lit(True)), ["src", "sub"], "left").join(parts, ["src", "sub", "mark"], "left")
+    named = named.withColumn("part", F.when(F.col("__in"), F.when(F.col("words").isNull(), F.col("size")).otherwise(F.least("size", F.coalesce("part", F.lit(0))))).otherwise(0))
+    more = F.array(F.struct(F.col("edge.copy").alias("copy"), F.col("edge.shard").alias("shard"), F.col("part").cast("long").alias("words")))
+    takes = F.expr("transform(coalesce(draws, array()), d -> named_struct('copy', d.copy, 'shard', d.shard, 'words', size))")
+    takes = F.filter(F.when(F.col("part") > 0, F.concat(takes, more)).otherwise(takes), lambda t: t["words"] > 0)
+    return named.withColumn("takes", takes).drop("blocks", "block", "draws", "edge", "sub", "words", "part", "__in")
 
 
 def sizes(docs: DataFrame) -> DataFrame:
-    return docs.select("doc_id", "source", source_key(F.col("source")).alias("src"), words(F.col("text")).alias("size"))
+    text = F.col("text").cast("string")
+    return docs.select("doc_id", "source", source_key(F.col("source")).alias("src"), mark(F.col("doc_id"), text).alias("mark"), words(text).alias("size"))
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     sized = cut(spark, sizes(table(spark, sf_dir, "documents")), "sizes")
-    sources, draws = plan(spark, sized)
-    mixed = apply_plan(sized, sources, draws)
+    mixed = apply_plan(sized, plan(spark, sized))
     return mixed.select("doc_id", "size", "source_size", "target", F.expr("aggregate(takes, 0L, (s, t) -> s + t.words)").alias("taken"), F.expr("transform(takes, t -> t.shard)").alias("shards"))
 
 
@@ -182,17 +229,16 @@ def mix(spark: SparkSession, docs: DataFrame, seed: int = 17) -> DataFrame:
     """The mixed rows: the columns of ``docs``, ``mix_copy``, ``mix_shard``; a document taken in part has the first
     words of its text. Rows lie by shard, shuffled within it."""
     names = docs.columns
-    plain = docs.select(F.struct(*names).alias("__row"), "doc_id", source_key(F.col("source")).alias("src"), words(F.col("text")).alias("size"))
+    plain = docs.select(F.struct(*names).alias("__row"), source_key(F.col("source")).alias("src"), mark(F.col("doc_id"), F.col("text")).alias("mark"), words(F.col("text")).alias("size"))
     sized = cut(spark, sizes(docs), "sizes")
-    sources, draws = plan(spark, sized, seed=seed)
-    rows = apply_plan(plain, sources, draws, seed).select("__row", "doc_id", "size", F.explode("takes").alias("__t"))
+    rows = apply_plan(plain, plan(spark, sized, seed=seed), seed).select("__row", "mark", "size", F.explode("takes").alias("__t"))
     # the first words with the white space between them
     head = F.array_join(F.slice(F.regexp_extract_all(F.col("__row.text"), F.lit(f"[{SPACE_CLASS}]*{WORD}"), F.lit(0)), F.lit(1), F.col("__t.words").cast("int")), "")
     text = F.when(F.col("__t.words") < F.col("size"), head).otherwise(F.col("__row.text"))
     parts = [text.alias("text") if c == "text" else F.length(text).cast("long").alias(c) if c == "n_chars" else F.col(f"__row.`{c}`") for c in names]
-    out = rows.select(*parts, F.col("__t.copy").alias("mix_copy"), F.col("__t.shard").alias("mix_shard"))
+    out = rows.select(*parts, F.col("__t.copy").alias("mix_copy"), F.col("__t.shard").alias("mix_shard"), "mark")
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return out.repartition(n, "mix_shard", F.pmod(F.xxhash64("doc_id"), F.lit(64))).sortWithinPartitions("mix_shard", doc_order(F.col("doc_id"), F.col("mix_copy"), seed))
+    return out.repartition(n, "mix_shard", F.pmod("mark", F.lit(64))).sortWithinPartitions("mix_shard", row_order(F.col("mark"), F.col("mix_copy"), seed)).drop("mark")
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
