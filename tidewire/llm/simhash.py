@@ -14,8 +14,9 @@ The pipeline's stage (:func:`similar_texts`) links texts whose sets of five-word
 0.8 or more, whatever their fingerprints. Candidates are op8's links and texts that share one of BANDS keys of ROWS
 minima each (a pair at 0.8 shares none with probability 3e-6), if LEAST_EQUAL of their minima agree at least; every
 candidate is confirmed on the exact sets. That is done in two steps, so that a large group doesn't give all its pairs:
-first every text of a bucket meets the bucket's first text only; the links found give components; then, in the buckets that
-still hold several components, texts of different components meet. A pair within a component can't change the result.
+first every text of a bucket meets the bucket's first text only; the links found give components; then the buckets that
+still hold several components get their texts' sets, and the texts of different components are compared within the task,
+which gives one link for each two components that it joins. A pair within a component can't change the result.
 
 Only different fingerprints are joined (copies collapse first). A cell gives a spanning forest of its links, not all
 pairs; a cell with more than ``tile`` fingerprints is dealt out as pairs of blocks, so that no task gathers it whole.
@@ -40,7 +41,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import WORD, cut, drop_cut, lean, plain_texts, table
+from .cuts import ragged
+from .shared import WORD, cut, lean, plain_texts, table
 
 RADIUS = 3
 GROUPS = 7
@@ -298,39 +300,45 @@ def _alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep))
 
 
+def _joined(node: np.ndarray, root: np.ndarray, sets: list[np.ndarray]) -> Iterator[tuple[int, int]]:
+    """Links with a similarity of 0.8 or more that span the components which all such links make of one bucket's nodes,
+    of which those with one root are joined already."""
+    size = np.array([len(x) for x in sets])
+    different, flat = np.unique(np.concatenate(sets), return_inverse=True)
+    starts = np.cumsum(size) - size
+    label, mark = root.copy(), np.zeros(len(different) + 1, bool)
+    for i in range(len(node) - 1):
+        other = np.flatnonzero((label[i + 1 :] != label[i]) & (5 * np.minimum(size[i + 1 :], size[i]) >= 4 * np.maximum(size[i + 1 :], size[i]))) + i + 1
+        other = other[size[other] > 0]
+        if not len(other) or not size[i]:
+            continue
+        own = flat[starts[i] : starts[i] + size[i]]
+        mark[own] = True
+        position, close = ragged(starts[other], size[other])
+        both = np.add.reduceat(mark[flat[position]], np.concatenate([[0], close[:-1]]), dtype=np.int64)
+        mark[own] = False
+        for j in other[5 * both >= 4 * (size[other] + size[i] - both)].tolist():
+            if label[j] != label[i]:
+                yield int(min(node[i], node[j])), int(max(node[i], node[j]))
+                label[label == label[j]] = label[i]
+
+
 def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Batches (key, part, node, root, sketch) sorted by (key, part): in each run of equal keys the pairs of nodes of
-    different roots with enough equal minima."""
-    rest: list[np.ndarray] = [np.zeros(0, np.int64)] * 4 + [np.zeros((0, HASHES), np.uint8)]
+    """Batches (key, part, node, root, set) sorted by (key, part): the links of :func:`_joined` in each run."""
+    run: list[tuple] = []
 
-    def linked(columns: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        key, part, node, root, marks = columns
-        at = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (part[1:] != part[:-1]), [True]])) if len(key) else np.zeros(1, np.int64)
-        found: list[np.ndarray] = []
-        for s, e in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
-            for i in range(s, e - 1):
-                other = np.flatnonzero(root[i + 1 : e] != root[i]) + i + 1
-                near = other[np.count_nonzero(marks[other] == marks[i], axis=1) >= LEAST_EQUAL]
-                if len(near):
-                    found.append(np.stack([np.minimum(node[near], node[i]), np.maximum(node[near], node[i])]))
-                if len(found) >= 4096:
-                    yield pa.RecordBatch.from_arrays(list(map(pa.array, np.unique(np.concatenate(found, 1), axis=1))), names=["a", "b"])
-                    found = []
-        if found:
-            yield pa.RecordBatch.from_arrays(list(map(pa.array, np.unique(np.concatenate(found, 1), axis=1))), names=["a", "b"])
+    def linked() -> pa.RecordBatch:
+        found = np.array(list(_joined(np.array([r[2] for r in run]), np.array([r[3] for r in run]), [r[4] for r in run])), np.int64).reshape(-1, 2)
+        return pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], names=["a", "b"])
 
     for batch in batches:
-        if not batch.num_rows:
-            continue
-        marks = np.frombuffer(b"".join(batch.column(4).to_pylist()), np.uint8).reshape(-1, HASHES)
-        columns = [c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns[:4]] + [marks]
-        columns = [np.concatenate([r, c]) for r, c in zip(rest, columns, strict=True)]
-        last = np.flatnonzero((columns[0] != columns[0][-1]) | (columns[1] != columns[1][-1]))
-        begin = int(last[-1]) + 1 if len(last) else 0
-        rest = [c[begin:] for c in columns]
-        if begin:
-            yield from linked([c[:begin] for c in columns])
-    yield from linked(rest)
+        for row in zip(*(c.to_pylist() for c in batch.columns[:4]), (np.frombuffer(x.as_buffer(), np.uint32) for x in batch.column(4)), strict=True):
+            if run and row[:2] != run[-1][:2]:
+                yield linked()
+                run = []
+            run.append((*row[:4], row[4].copy()))
+    if run:
+        yield linked()
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -352,6 +360,19 @@ def _confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
+def _halves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(node, the lower 32 bits of its set's hashes)."""
+    for batch in batches:
+        halves = [np.frombuffer(x.as_buffer(), np.uint32)[::2].tobytes() if x.as_buffer().size else b"" for x in batch.column(1)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(halves, pa.binary())], names=["node", "half"])
+
+
+def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Of the pairs (a, b) of nodes, those whose ``sets`` (node, found) are similar."""
+    both = pairs.join(sets.toDF("a", "one"), "a").join(sets.toDF("b", "two"), "b").select("a", "b", "one", "two")
+    return both.mapInArrow(lean(_confirmed), "a long, b long")
+
+
 def _ordered(pairs: DataFrame) -> DataFrame:
     return pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
@@ -361,21 +382,9 @@ def grouped(spark: SparkSession, docs: DataFrame, tile: int = 2048) -> tuple[Dat
     of the texts with a five-word similarity of 0.8 or more."""
     every = cut(spark, sketches(docs), "sketches")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key", "fp")).alias("first")
-    sets = every.groupBy("same").agg(first, F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
+    distinct = every.groupBy("same").agg(first, F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
     # a number for each different set, which the table keeps
-    nodes = cut(spark, sets.withColumn("node", F.monotonically_increasing_id()), "distinct-sets")
-
-    # texts of the different sets that meet another one, by node
-    def confirmed(pairs: DataFrame) -> DataFrame:
-        ids = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-        wanted = nodes.join(ids, "node").select("node", F.col("first.doc_id").alias("__doc"), F.col("first.text_key").alias("__key"))
-        texts = docs.select(F.col("doc_id").cast("long").alias("__doc"), text_key(F.col("text")).alias("__key"), "text")
-        texts = texts.join(wanted.withColumnsRenamed({"__doc": "d", "__key": "k"}), F.col("__doc").eqNullSafe(F.col("d")) & (F.col("__key") == F.col("k")))
-        found = cut(spark, texts.select("node", "text").mapInArrow(lean(_sets), "node long, found binary").dropDuplicates(["node"]), "shingle-sets")
-        both = pairs.join(found.toDF("a", "one"), "a").join(found.toDF("b", "two"), "b").select("a", "b", "one", "two")
-        out = cut(spark, both.mapInArrow(lean(_confirmed), "a long, b long"), "confirmed")
-        drop_cut(spark, found)
-        return out
+    nodes = cut(spark, distinct.withColumn("node", F.monotonically_increasing_id()), "distinct-sets")
 
     # step one: each text of a bucket and the bucket's first, and op8's links
     keys = nodes.select(F.explode("bands").alias("key"), "node")
@@ -387,17 +396,25 @@ def grouped(spark: SparkSession, docs: DataFrame, tile: int = 2048) -> tuple[Dat
     prints = nodes.select(F.col("node").alias("doc_id"), F.lit(0).alias("print"), F.col("first.fp").alias("fp"))
     each = cut(spark, prints.groupBy("print", "fp").agg(F.min("doc_id").alias("doc_id")), "single-fingerprints")
     equal = prints.join(each.withColumnRenamed("doc_id", "other"), ["print", "fp"]).select(F.col("doc_id").alias("a"), F.col("other").alias("b"))
-    one = confirmed(cut(spark, _ordered(stars.unionByName(links(spark, each)).unionByName(equal)), "candidates"))
+    pairs = cut(spark, _ordered(stars.unionByName(links(spark, each)).unionByName(equal)), "candidates")
+    # the sets of all texts that meet another one
+    meet = members.select("node").unionByName(pairs.select(F.explode(F.array("a", "b")).alias("node"))).distinct()
+    wanted = nodes.join(meet, "node").select("node", F.col("first.doc_id").alias("__d"), F.col("first.text_key").alias("__k"))
+    texts = docs.select(F.col("doc_id").cast("long").alias("__doc"), text_key(F.col("text")).alias("__key"), "text")
+    texts = texts.join(wanted, F.col("__doc").eqNullSafe(F.col("__d")) & (F.col("__key") == F.col("__k"))).select("node", "text")
+    sets = cut(spark, texts.mapInArrow(lean(_sets), "node long, found binary").dropDuplicates(["node"]), "shingle-sets")
+    one = cut(spark, confirmed(pairs, sets), "confirmed")
     roots = cut(spark, components(spark, one), "roots")
-    # step two: texts of different components in one bucket
-    placed = members.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
+    # step two: texts of different components in one bucket; half of each hash is enough to find what is confirmed then
+    placed = members.select("key", "node").join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
     several = placed.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key")
-    rows = _dealt(spark, placed.join(several, "key").join(marks, "node").select("key", "node", "root", "sketch"), "node", tile)
+    halves = sets.mapInArrow(lean(_halves), "node long, half binary")
+    rows = _dealt(spark, placed.join(several, "key").join(halves, "node").select("key", "node", "root", "half"), "node", tile)
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     across = rows.repartition(n, "key", "part").sortWithinPartitions("key", "part").mapInArrow(lean(_across), "a long, b long")
     pairs = cut(spark, _ordered(across), "candidates")
     if pairs.limit(1).count():
-        roots = cut(spark, components(spark, one.unionByName(confirmed(pairs))), "roots")
+        roots = cut(spark, components(spark, one.unionByName(confirmed(pairs, sets))), "roots")
     named = nodes.join(roots, "node", "left").select("same", "first", F.coalesce("root", "node").alias("root"))
     kept = named.groupBy("root").agg(F.min("first").alias("first"))
     return every.select("doc_id", "text_key", "same"), named.select("same", "root").join(kept, "root").select("same", "first")
