@@ -123,7 +123,10 @@ def test_http(spark, data, tmp_path):
             return e.code, e.read()
 
     assert get("/api/stats")[0] == 404 and get("/health")[0] == 200
-    service.analyze(articles, Config(num_topics=2, num_clusters=2, inits=1))
+    real = service.analyze
+    service.analyze = lambda found: real(found, Config(num_topics=2, num_clusters=2, inits=1))
+    code, answer = get("/api/analyze")
+    assert code == 200 and json.loads(answer)["status"] == "success" and json.loads(answer)["stats"]["total_noticias"] == 30
     assert json.loads(get("/api/stats")[1])["total_noticias"] == 30
     assert len(json.loads(get("/api/noticias?page=2&per_page=7")[1])["noticias"]) == 7
     assert [get(p)[0] for p in ("/api/search?q=the", "/api/search?q=", "/api/search?q=a(", "/nowhere", "/api/noticias?page=x")] == [200, 400, 400, 404, 500]
@@ -148,6 +151,7 @@ def test_registered_models_run_whole(spark, data, monkeypatch):
 
         return call
 
+    monkeypatch.setattr(queries, "_fits", {})  # no fit of another test's
     monkeypatch.setattr(queries, "_vectors", lambda spark, sf_dir: (None, None, []))
     monkeypatch.setattr(queries.topics, "fit", spy(topics.fit))
     monkeypatch.setattr(queries.clusters, "fit", spy(clusters.fit))

@@ -91,3 +91,89 @@ def test_stream_keeps_the_newest(spark, tmp_path):
     assert sorted(r["titulo"] for r in rows) == ["One", "Two"]
     assert {r["titulo"]: r["enlace"] for r in rows}["One"] == "http://x/new"
     assert {r["titulo"]: r["menores_identificados"] for r in rows} == {"One": "No", "Two": "Si"}
+
+
+def test_a_publication_cut_short_loses_nothing(spark, tmp_path, monkeypatch):
+    """Stopped after each step in turn, the next load gives the old table or the new one, whole."""
+    import pytest
+
+    path = f"file://{tmp_path}/t.parquet"
+    tables.publish(spark.range(3), path)
+    real, steps = tables._hadoop, []
+
+    class Stop(Exception):
+        pass
+
+    class Halting:
+        def __init__(self, fs):
+            self.fs = fs
+
+        def __getattr__(self, name):
+            def call(*args):
+                if name in ("rename", "delete", "create"):
+                    if len(steps) >= allowed:
+                        raise Stop
+                    steps.append(name)
+                return getattr(self.fs, name)(*args)
+
+            return call
+
+    def hadoop(session, at):
+        fs, where = real(session, at)
+        return Halting(fs), where
+
+    done = False
+    for allowed in range(12):
+        before = tables.load(spark, path).count()
+        steps.clear()
+        monkeypatch.setattr(tables, "_hadoop", hadoop)
+        try:
+            tables.publish(spark.range(before + 10), path)
+            done = True
+        except Stop:
+            pass
+        monkeypatch.setattr(tables, "_hadoop", real)
+        after = tables.load(spark, path)
+        assert after is not None and after.count() in (before, before + 10)
+        if done:
+            assert after.count() == before + 10
+            break
+    assert done and allowed >= 3
+    (tmp_path / "broken.parquet").mkdir()
+    (tmp_path / "broken.parquet" / "part-0.parquet").write_text("no table")
+    with pytest.raises(Exception):  # noqa: B017
+        tables.load(spark, f"file://{tmp_path}/broken.parquet").count()
+    assert tables.load(spark, f"file://{tmp_path}/absent.parquet") is None
+
+
+def test_the_last_of_equal_articles_is_the_last_fetched(spark, tmp_path):
+    from tidewire.streaming.ingest import merge
+
+    path = f"file://{tmp_path}/t.parquet"
+    merge(spark.range(1).selectExpr("0L as doc_idx", "'x' as titulo", "'y' as contenido", "'first' as enlace"), path, "doc_idx")
+    rows = spark.range(0, 400, 1, 8).selectExpr("id as doc_idx", "concat('t', id % 7) as titulo", "'c' as contenido", "concat('at ', id) as enlace")
+    merge(rows, path, "doc_idx")
+    got = tables.load(spark, path).orderBy("doc_idx").collect()
+    assert [(r["doc_idx"], r["enlace"]) for r in got] == [(0, "first"), *[(k + 1, f"at {i}") for k, i in enumerate(range(393, 400))]]
+
+
+def test_references_are_decoded_by_default(spark, tmp_path):
+    feed = FEED.replace("short", "short").replace("&lt;b&gt;body&lt;/b&gt;", "b&amp;eacute;b&amp;eacute; &amp;#8217;x&amp;#8217;")
+    (tmp_path / "f.xml").write_text(feed)
+    rows = feeds.collect_landed(spark, [str(tmp_path / "f.xml")]).orderBy("doc_idx").collect()
+    assert rows[0]["contenido"] == "Long bébé ’x’"
+
+
+def test_command_line(spark, tmp_path, monkeypatch):
+    """collect, analyze and one round of the schedule, with feeds that are fetched from memory."""
+    from tidewire import cli
+
+    monkeypatch.setattr(cli, "collect_feeds", lambda session, urls: feeds.collect_feeds(session, urls, lambda url: FEED.encode()))
+    out, path = f"file://{tmp_path}/out.parquet", f"file://{tmp_path}/a.parquet"
+    assert cli.collect(spark, ["http://a/", "http://b/"], path) == 4  # a first batch is not deduplicated
+    assert cli.collect(spark, ["http://a/"], path) == 2
+    monkeypatch.setattr(cli, "analyze", lambda articles: type("A", (), {"table": conform(articles, extra=("doc_idx",))}))
+    found = cli.run_analysis(spark, path, out)
+    assert found["total_noticias"] == 2 and found["noticias_nna"] == 1 and found["porcentaje"] == 50.0
+    cli.schedule(spark, ["http://a/"], path, out, rounds=1, poll_s=0)
+    assert tables.load(spark, out).count() == 2

@@ -18,7 +18,7 @@ log = logging.getLogger("tidewire")
 
 def collect(spark: SparkSession, urls: list[str], path: str) -> int:
     """Fetches the feeds and merges them into the stored articles."""
-    merge(flag(collect_feeds(spark, urls)).drop("doc_idx"), path)
+    merge(flag(collect_feeds(spark, urls)), path, "doc_idx")
     return spark.read.parquet(path).count()
 
 

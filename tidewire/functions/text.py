@@ -124,9 +124,10 @@ def _strip_exact(s: pd.Series) -> pd.Series:
     return s.map(_strip)
 
 
-def strip_html(c: Column | str, exact: bool = False) -> Column:
+def strip_html(c: Column | str, exact: bool = True) -> Column:
     """The text between tags: each piece stripped, empty ones dropped, joined by one space; comments, scripts and
-    styles have none. Null gives ''. ``exact`` parses the pages that have references other than the common ones."""
+    styles have none. Null gives ''. Pages that have references other than the common ones, and no others, are sent through
+    a parser that knows all; ``exact=False`` leaves such references as they are."""
     text = _text(c)
     native = F.regexp_replace(F.regexp_replace(text, NODES, "\u0001"), "[ \\t\\n\\x0B\\f\\r]*\u0001[ \\t\\n\\x0B\\f\\r\u0001]*", " ")
     native = F.regexp_replace(native, f"^{WHITE}|{WHITE}$", "")

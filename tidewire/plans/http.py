@@ -22,6 +22,8 @@ log = logging.getLogger("tidewire")
 def make_server(service: Service, articles: Callable[[], DataFrame], host: str = "127.0.0.1", port: int = 0) -> ThreadingHTTPServer:
     """A server that answers from ``service``; ``articles`` gives what /api/analyze analyses. Port 0 takes a free one."""
 
+    exports = tempfile.TemporaryDirectory()  # gone with the server
+
     def answer(path: str, args: dict[str, str]) -> dict | str:
         if path == "/api/stats":
             return service.stats()
@@ -32,7 +34,7 @@ def make_server(service: Service, articles: Callable[[], DataFrame], host: str =
         if path == "/api/analyze":
             return {"status": "success", "stats": service.analyze(articles())}
         if path == "/api/export/csv":
-            return service.export_csv(os.path.join(tempfile.mkdtemp(), "noticias_nna.csv"))  # sent by this very process
+            return service.export_csv(os.path.join(exports.name, "noticias_nna.csv"))  # sent by this very process
         if path == "/health":
             return service.health()
         raise NoData("not found")

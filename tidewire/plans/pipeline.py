@@ -15,6 +15,7 @@ from ..operators import clusters, search, similarity, topics
 from ..operators.vectorize import Tfidf
 from ..schema import ANALYZED, YES, conform
 from ..sources import tables
+from ..sources.scratch import written
 
 log = logging.getLogger("tidewire")
 
@@ -25,6 +26,7 @@ class Config:
     num_clusters: int = 5
     inits: int = 10
     compat: bool = True
+    exact: bool = False  # full decomposition of letters beyond Latin, by an Arrow UDF on the texts that have them
     seed: int = 42
 
 
@@ -35,19 +37,19 @@ class Analysis:
     clusters: clusters.Clusters | None
 
 
-def flag(articles: DataFrame, compat: bool = True) -> DataFrame:
-    return articles.withColumn("menores_identificados", detect("contenido", compat))
+def flag(articles: DataFrame, compat: bool = True, exact: bool = False) -> DataFrame:
+    return articles.withColumn("menores_identificados", detect("contenido", compat, exact))
 
 
-def clean(articles: DataFrame, compat: bool = True) -> DataFrame:
-    return articles.withColumns({"titulo_limpio": clean_text("titulo", compat), "contenido_limpio": clean_text("contenido", compat)})
+def clean(articles: DataFrame, compat: bool = True, exact: bool = False) -> DataFrame:
+    return articles.withColumns({"titulo_limpio": clean_text("titulo", compat, exact), "contenido_limpio": clean_text("contenido", compat, exact)})
 
 
 def analyze(articles: DataFrame, config: Config | None = None) -> Analysis:
     """Flags, cleans, and adds topics, clusters and neighbours; all parts meet on doc_idx. A step that can't run (say,
     without any term) is logged and its columns are null, cluster 0."""
     config = config or Config()
-    base = clean(flag(articles, config.compat), config.compat)
+    base = clean(flag(articles, config.compat, config.exact), config.compat, config.exact)
     model = Tfidf(base)
     out, found_topics, found_clusters = base, None, None
     some = model.vocab.count() > 0
@@ -65,7 +67,12 @@ def analyze(articles: DataFrame, config: Config | None = None) -> Analysis:
         except Exception:  # noqa: BLE001
             log.exception("clusters")
     out = out.join(similarity.nearest(model), "doc_idx", "left")
-    return Analysis(conform(out, ANALYZED), found_topics, found_clusters)
+    # the result no longer needs what was kept for the fits
+    table = written(conform(out, ANALYZED), "analysis")
+    if some:
+        vectors.unpersist()
+    model.close()
+    return Analysis(table, found_topics, found_clusters)
 
 
 class Analyzer:
@@ -78,7 +85,7 @@ class Analyzer:
         self.analysis: Analysis | None = None
 
     def load(self, articles: DataFrame) -> DataFrame:
-        self.articles = flag(articles, self.config.compat)
+        self.articles = flag(articles, self.config.compat, self.config.exact)
         return self.articles
 
     def _need(self, what, name: str):

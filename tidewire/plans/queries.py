@@ -19,7 +19,7 @@ from ..functions.text import ACCENTED, BASES, ENTITIES, clean_text, fold_ascii,
 from ..operators import clusters, history, search, serving, similarity, topics, vectorize
 from ..schema import articles_from_documents, conform, with_doc_idx
 from ..sources.feeds import collect_landed
-from ..sources.scratch import scratch
+from ..sources.scratch import scratch, written
 from ..streaming.ingest import upsert_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -265,13 +265,13 @@ def search_top20(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _batch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A second batch: some documents again, and the benchmark's passages, without all columns."""
-    again = documents(spark, sf_dir).where("doc_id % 4 = 0").select(F.col("doc_id").alias("doc_idx"), F.split_part("text", F.lit("\n"), F.lit(1)).alias("titulo"), F.col("text").alias("contenido"))
+    """A second batch: the documents again, and the benchmark's passages, without all columns."""
+    again = documents(spark, sf_dir).select(F.col("doc_id").alias("doc_idx"), F.split_part("text", F.lit("\n"), F.lit(1)).alias("titulo"), F.col("text").alias("contenido"))
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select((F.col("item_id") + 100_000_000).alias("doc_idx"), F.lit("benchmark").alias("titulo"), F.col("text").alias("contenido"))
     return again.unionByName(items)
 
 
-SQL_BATCH = "SELECT doc_id AS pos, split_part(text, chr(10), 1) AS titulo, text AS contenido FROM documents WHERE doc_id % 4 = 0 UNION ALL SELECT item_id + 100000000, 'benchmark', text FROM benchmark"
+SQL_BATCH = "SELECT doc_id AS pos, split_part(text, chr(10), 1) AS titulo, text AS contenido FROM documents UNION ALL SELECT item_id + 100000000, 'benchmark', text FROM benchmark"
 
 
 @query(f"WITH b AS ({SQL_BATCH}) SELECT doc_id AS doc_idx, split_part(text, chr(10), 1) AS titulo, text AS contenido, source AS fuente FROM documents UNION ALL SELECT pos, titulo, contenido, NULL FROM b")
@@ -345,7 +345,10 @@ def similarity_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similarity.summary(similarity.nearest(_model(spark, sf_dir))).withColumn("mean_similarity", F.round("mean_similarity", 6))
 
 
-# --- models (no SQL) -----------------------------------------------------------------------------------------------
+# --- models --------------------------------------------------------------------------------------------------------
+# The fits have no SQL; their reports over fixed groups (the documents' languages) do.
+
+_fits: dict[tuple[str, str, str], tuple] = {}
 
 
 def _vectors(spark: SparkSession, sf_dir: str) -> tuple[vectorize.Tfidf, DataFrame, list[str]]:
@@ -354,43 +357,135 @@ def _vectors(spark: SparkSession, sf_dir: str) -> tuple[vectorize.Tfidf, DataFra
     return model, vectors.persist(), words
 
 
+def _once(spark: SparkSession, sf_dir: str, name: str, fit: Callable[[vectorize.Tfidf, DataFrame, list[str]], tuple]) -> tuple:
+    """One fit for a session's queries over the same tables; what it gave is written to the shared folder."""
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _fits:
+        model, vectors, words = _vectors(spark, sf_dir)
+        _fits[key] = fit(model, vectors, words)
+        vectors.unpersist()
+        model.close()
+    return _fits[key]
+
+
+def _topics(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, float]:
+    def fit(_: vectorize.Tfidf, vectors: DataFrame, words: list[str]) -> tuple:
+        found = topics.fit(vectors, words)
+        return written(found.assigned, "topics"), found.catalogue, found.perplexity
+
+    return _once(spark, sf_dir, "topics", fit)
+
+
+def _clusters(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, float, float]:
+    def fit(model: vectorize.Tfidf, vectors: DataFrame, words: list[str]) -> tuple:
+        found = clusters.fit(vectors, words)
+        assigned = written(found.assigned, "clusters")
+        return assigned, found.terms, found.silhouette_sq, clusters.silhouette(model, assigned)
+
+    return _once(spark, sf_dir, "clusters", fit)
+
+
 @query()
 def lda_topics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _, vectors, words = _vectors(spark, sf_dir)
-    found = topics.fit(vectors, words)
-    return topics.describe(found.assigned, found.catalogue)
+    assigned, catalogue, _ = _topics(spark, sf_dir)
+    return topics.describe(assigned, catalogue)
 
 
 @query()
 def topic_catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _, vectors, words = _vectors(spark, sf_dir)
-    found = topics.fit(vectors, words)
-    return found.catalogue.withColumn("perplexity", F.lit(found.perplexity))
+    _, catalogue, perplexity = _topics(spark, sf_dir)
+    return catalogue.withColumn("perplexity", F.lit(perplexity))
 
 
 @query()
 def kmeans_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _, vectors, words = _vectors(spark, sf_dir)
-    return clusters.fit(vectors, words).assigned
+    return _clusters(spark, sf_dir)[0]
 
 
 @query()
 def cluster_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _, vectors, words = _vectors(spark, sf_dir)
-    return clusters.sizes(clusters.fit(vectors, words).assigned)
+    return clusters.sizes(_clusters(spark, sf_dir)[0])
 
 
 @query()
 def cluster_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _, vectors, words = _vectors(spark, sf_dir)
-    return clusters.fit(vectors, words).terms
+    return _clusters(spark, sf_dir)[1]
 
 
 @query()
 def silhouette(spark: SparkSession, sf_dir: str) -> DataFrame:
-    model, vectors, words = _vectors(spark, sf_dir)
-    found = clusters.fit(vectors, words)
-    return spark.createDataFrame([(found.silhouette_sq, clusters.silhouette(model, found.assigned))], "silhouette_sq double, silhouette double")
+    return spark.createDataFrame([_clusters(spark, sf_dir)[2:]], "silhouette_sq double, silhouette double")
+
+
+@query()
+def analyze_full(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole analysis with its defaults: flags, cleaning, TF-IDF, 6 topics in 20 passes, 5 clusters of 10 starts,
+    neighbours."""
+    from .pipeline import analyze
+
+    return analyze(articles(spark, sf_dir)).table.drop("contenido", "contenido_limpio")
+
+
+SQL_GROUP = "CASE lang WHEN 'en' THEN 0 WHEN 'de' THEN 1 WHEN 'fr' THEN 2 ELSE 3 END"
+
+
+def _groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lang = F.col("lang")
+    group = F.when(lang == "en", 0).when(lang == "de", 1).when(lang == "fr", 2).otherwise(3)
+    return documents(spark, sf_dir).select(F.col("doc_id").alias("doc_idx"), group.alias("cluster"))
+
+
+@query(f"SELECT {SQL_GROUP} AS cluster, count(*) AS n FROM documents GROUP BY 1")
+def group_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clusters.sizes(_groups(spark, sf_dir))
+
+
+@query(
+    f"""WITH {SQL_TERMS}, g AS (SELECT doc_id, {SQL_GROUP} AS cluster FROM documents), c AS (SELECT cluster, count(*) AS n FROM g GROUP BY 1),
+m AS (SELECT cluster, term, round(sum(w) / any_value(n), 9) AS weight FROM weights JOIN g USING (doc_id) JOIN c USING (cluster) GROUP BY 1, 2)
+SELECT cluster, CAST(row_number() OVER (PARTITION BY cluster ORDER BY weight DESC, term) AS INTEGER) AS rank, term, round(weight, 6) AS weight FROM m QUALIFY rank <= 12"""
+)
+def group_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clusters.top_terms(_model(spark, sf_dir).weights(), _groups(spark, sf_dir)).withColumn("weight", F.round("weight", 6))
+
+
+@query(
+    f"""WITH {SQL_TERMS}, g AS (SELECT doc_id, {SQL_GROUP} AS cluster FROM documents), c AS (SELECT cluster, count(*) AS n FROM g GROUP BY 1),
+z AS (SELECT doc_id, coalesce(sum(w * w), 0) AS q FROM documents LEFT JOIN weights USING (doc_id) GROUP BY 1),
+p AS (SELECT a.doc_id AS i, b.doc_id AS j, sum(a.w * b.w) AS s FROM weights a JOIN weights b ON a.term = b.term AND a.doc_id <> b.doc_id GROUP BY ALL),
+d AS (SELECT x.doc_id AS i, g.cluster AS other, sum(sqrt(greatest(x.q + y.q - 2 * coalesce(s, 0), 0))) AS total FROM z x JOIN z y ON x.doc_id <> y.doc_id JOIN g ON g.doc_id = y.doc_id LEFT JOIN p ON p.i = x.doc_id AND p.j = y.doc_id GROUP BY ALL),
+e AS (SELECT d.i, max(CASE WHEN other = g.cluster AND n > 1 THEN total / (n - 1) END) AS a, min(CASE WHEN other <> g.cluster THEN total / n END) AS b FROM d JOIN g ON g.doc_id = d.i JOIN c ON c.cluster = other GROUP BY d.i)
+SELECT round(avg(CASE WHEN a IS NULL THEN 0 ELSE (b - a) / greatest(a, b) END), 6) AS silhouette FROM e"""
+)
+def group_silhouette(spark: SparkSession, sf_dir: str) -> DataFrame:
+    value = clusters.silhouette(_model(spark, sf_dir), _groups(spark, sf_dir))
+    return spark.createDataFrame([(round(value, 6),)], "silhouette double")
+
+
+@query(
+    f"""WITH {SQL_TERMS}, m AS (SELECT {SQL_GROUP} AS topic_id, term, CAST(sum(tf) AS DOUBLE) AS weight FROM tf JOIN vocab USING (term) JOIN documents USING (doc_id) GROUP BY 1, 2),
+r AS (SELECT *, row_number() OVER (PARTITION BY topic_id ORDER BY weight DESC, term) AS rank FROM m QUALIFY rank <= 10)
+SELECT topic_id, string_agg(term, '|' ORDER BY rank) AS words, sum(weight) AS total, string_agg(CASE WHEN rank <= 5 THEN term END, ' ' ORDER BY rank) AS description FROM r GROUP BY 1"""
+)
+def group_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The topics' catalogue, over the languages' counts of terms."""
+    model = _model(spark, sf_dir)
+    counts = model.weights().join(_groups(spark, sf_dir), "doc_idx").groupBy(F.col("cluster").alias("topic_id"), "term").agg(F.sum("tf").cast("double").alias("weight"))
+    found = topics.describe_words(counts)
+    return found.select("topic_id", F.array_join("words", "|").alias("words"), F.aggregate("probabilities", F.lit(0.0), lambda s, w: s + w).alias("total"), "description")
+
+
+@query(
+    """WITH s AS (SELECT vec_id, list_transform(embedding[1:6], lambda x: CAST(greatest(x, 0) AS DOUBLE)) AS v FROM embeddings WHERE len(embedding) >= 6),
+t AS (SELECT vec_id, CASE WHEN list_max(v) > 0 THEN v ELSE [1.0/6, 1.0/6, 1.0/6, 1.0/6, 1.0/6, 1.0/6] END AS v FROM s)
+SELECT vec_id AS doc_idx, CAST(list_position(v, list_max(v)) - 1 AS INTEGER) AS topic_id, round(list_max(v), 6) AS topic_probability, 'topic ' || (list_position(v, list_max(v)) - 1) AS topic_description FROM t"""
+)
+def topic_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The greatest share and its topic's description, with an embedding's first components as shares."""
+    first = F.transform(F.slice("embedding", 1, 6), lambda x: F.greatest(x, F.lit(0.0).cast("float")).cast("double"))
+    shares = spark.read.parquet(f"{sf_dir}/embeddings.parquet").where("size(embedding) >= 6").select(F.col("vec_id").alias("doc_idx"), first.alias("shares"))
+    names = spark.range(6).select(F.col("id").cast("int").alias("topic_id"), F.concat(F.lit("topic "), "id").alias("description"))
+    return topics.describe(topics.assign(shares, 6), names).withColumn("topic_probability", F.round("topic_probability", 6))
 
 
 # --- sources and streams -------------------------------------------------------------------------------------------

@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .sources.scratch import written
+
 RAW_FIELDS = ("titulo", "contenido", "enlace", "fuente", "fecha")
 UNDETERMINED, YES, NO = "No determinado", "Si", "No"
 
@@ -36,11 +38,13 @@ def conform(df: DataFrame, schema: T.StructType = ARTICLES, extra: tuple[str, ..
 
 def with_doc_idx(df: DataFrame, *order: Column | str) -> DataFrame:
     """Numbers the rows 0, 1, ... in ``order``: a range partitioning, a sort in each partition and the partitions' row
-    counts (one number each on the driver), never all rows in one task. ``order`` should be unique for a stable result."""
+    counts (one number each on the driver), never all rows in one task. The sorted partitions are written to the shared
+    folder, so that a lost executor can't renumber them. ``order`` should be unique for a result that reruns agree on."""
     keys = [F.col(c) if isinstance(c, str) else c for c in order]
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     # the position within a partition is the low 33 bits of Spark's own id, the partition's number the bits above
-    marked = df.repartitionByRange(n, *keys).sortWithinPartitions(*keys).withColumn("__id", F.monotonically_increasing_id()).persist()
+    marked = df.repartitionByRange(n, *keys).sortWithinPartitions(*keys).withColumn("__id", F.monotonically_increasing_id())
+    marked = written(marked, "positions")
     part = F.shiftright("__id", 33)
     counts = {r[0]: r[1] for r in marked.groupBy(part.alias("p")).count().collect()}
     starts, total = [], 0

@@ -13,6 +13,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..functions.text import iso_date, strip_html, strip_title
 from ..schema import UNDETERMINED, conform, with_doc_idx
+from .scratch import written
 
 ITEM = T.StructType([T.StructField(c, T.StringType()) for c in ("title", "description", "content:encoded", "link", "pubDate")])
 TIMEOUT_S = 10
@@ -26,7 +27,7 @@ def read_items(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     return items.select("*", F.col("_metadata.file_path").alias("feed"), F.monotonically_increasing_id().alias("position"))
 
 
-def to_articles(items: DataFrame, exact: bool = False) -> DataFrame:
+def to_articles(items: DataFrame, exact: bool = True) -> DataFrame:
     """Items that have a title and a description, as articles (without doc_idx). The body is content:encoded where the
     item has it, even if empty."""
     body = F.coalesce(F.col("`content:encoded`"), F.col("description"))
@@ -38,7 +39,7 @@ def to_articles(items: DataFrame, exact: bool = False) -> DataFrame:
         iso_date("pubDate").alias("fecha"),
         F.lit(0).alias("cluster"),
         F.lit(UNDETERMINED).alias("menores_identificados"),
-        *[c for c in ("feed_order", "position") if c in items.columns],
+        *[c for c in ("feed_order", "position", "landed") if c in items.columns],
     )
 
 
@@ -50,7 +51,7 @@ def collect_landed(spark: SparkSession, paths: list[str]) -> DataFrame:
     out = frames[0]
     for more in frames[1:]:
         out = out.unionByName(more)
-    return conform(with_doc_idx(to_articles(out), "feed_order", "position"))
+    return conform(with_doc_idx(to_articles(written(out, "items")), "feed_order", "position"))
 
 
 # --- over HTTP -----------------------------------------------------------------------------------------------------
@@ -113,5 +114,6 @@ def feed_source(fetch: Callable[[str], bytes] = fetch_http) -> type[DataSource]:
 def collect_feeds(spark: SparkSession, urls: list[str], fetch: Callable[[str], bytes] = fetch_http) -> DataFrame:
     """All feeds' articles, numbered by feed, then item. Nothing is deduplicated."""
     spark.dataSource.register(feed_source(fetch))
-    items = spark.read.format("rss").option("urls", "\n".join(urls)).load().persist()
-    return conform(with_doc_idx(to_articles(items), "feed_order", "position"))
+    # fetched once; what is fetched again could differ
+    items = spark.read.format("rss").option("urls", "\n".join(urls)).load()
+    return conform(with_doc_idx(to_articles(written(items, "feeds")), "feed_order", "position"))

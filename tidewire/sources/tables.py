@@ -2,18 +2,17 @@
 
 from __future__ import annotations
 
-import glob
 import json
 import os
-import shutil
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..schema import ANALYZED, YES
 
+#: The file that says that a new table is whole.
+COMPLETE = "_COMPLETE"
 CSV = {"header": "true", "multiLine": "true", "quote": '"', "escape": '"', "encoding": "UTF-8"}
 VERSION = "tidewire_v1"
 ALGORITHMS = ["TF-IDF", "LDA", "K-Means", "Cosine similarity"]
@@ -27,12 +26,33 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType | None = None)
     return text.select(*[(F.col(c).try_cast("double").cast(kinds[c]) if isinstance(kinds.get(c), (T.IntegerType, T.LongType)) else F.col(c).try_cast(kinds[c].simpleString()) if c in kinds else F.col(c)).alias(c) for c in text.columns])
 
 
+def _hadoop(spark: SparkSession, path: str):
+    """(file system, path as Hadoop has it)."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
+
+
+def recover(spark: SparkSession, path: str) -> None:
+    """Ends a publication that was cut short: a finished new table goes in, else the old one comes back. The old table is
+    deleted only when there is one at ``path``."""
+    fs, here = _hadoop(spark, path)
+    _, new = _hadoop(spark, f"{path}.new")
+    _, gone = _hadoop(spark, f"{path}.old")
+    if not fs.exists(here):
+        for from_ in ([new] if fs.exists(_hadoop(spark, f"{path}.new/{COMPLETE}")[1]) else []) + [gone]:
+            if fs.exists(from_) and fs.rename(from_, here):
+                break
+    if fs.exists(here):
+        fs.delete(gone, True)
+
+
 def load(spark: SparkSession, path: str) -> DataFrame | None:
-    """A stored table, or None if there is none that can be read."""
-    try:
-        return spark.read.parquet(path) if path.endswith(".parquet") else read_csv(spark, path)
-    except AnalysisException:
+    """A stored table, or None if there is none. One that is there but can't be read raises."""
+    recover(spark, path)
+    fs, here = _hadoop(spark, path)
+    if not fs.exists(here):
         return None
+    return spark.read.parquet(path) if path.endswith(".parquet") else read_csv(spark, path)
 
 
 def write_csv(df: DataFrame, path: str, single: bool = False) -> None:
@@ -43,24 +63,30 @@ def write_csv(df: DataFrame, path: str, single: bool = False) -> None:
         writer.csv(path)
         return
     writer.csv(f"{path}.parts")
-    part = glob.glob(f"{path}.parts/part-*.csv")
-    os.replace(part[0], path)
-    shutil.rmtree(f"{path}.parts")
+    spark = df.sparkSession
+    fs, parts = _hadoop(spark, f"{path}.parts")
+    _, here = _hadoop(spark, path)
+    part = next(f.getPath() for f in fs.listStatus(parts) if f.getPath().getName().startswith("part-"))
+    fs.delete(here, True)
+    if not fs.rename(part, here):
+        raise OSError(f"{path} can't be written")
+    fs.delete(parts, True)
+    _, check = _hadoop(spark, os.path.join(os.path.dirname(path), f".{os.path.basename(path)}.crc"))
+    fs.delete(check, False)  # a local file system's checksum of the file that was there before
 
 
 def publish(df: DataFrame, path: str) -> None:
-    """Parquet written beside ``path`` and swapped in, so that a table may be rewritten from itself."""
+    """Parquet written beside ``path`` and swapped in by two renames, so that a table may be rewritten from itself. At
+    every moment the old or the finished new table is whole, and :func:`recover`, which ``load`` and the next publication
+    begin with, puts it back in place; a plain reader between the two renames finds none. One writer at a time."""
     spark = df.sparkSession
-    jvm = spark._jvm
-    fresh, old = f"{path}.new", f"{path}.old"
-    df.write.mode("overwrite").parquet(fresh)
-    fs = jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark._jsc.hadoopConfiguration())
-    here, new, gone = (jvm.org.apache.hadoop.fs.Path(p) for p in (path, fresh, old))
-    fs.delete(gone, True)
-    if fs.exists(here):
-        fs.rename(here, gone)
-    fs.rename(new, here)
-    fs.delete(gone, True)
+    recover(spark, path)
+    df.write.mode("overwrite").parquet(f"{path}.new")
+    fs, here = _hadoop(spark, path)
+    fs.create(_hadoop(spark, f"{path}.new/{COMPLETE}")[1], True).close()
+    if fs.exists(here) and not fs.rename(here, _hadoop(spark, f"{path}.old")[1]):
+        raise OSError(f"{path} can't be moved")
+    recover(spark, path)
     spark.catalog.refreshByPath(path)
 
 
