@@ -171,3 +171,37 @@ def test_model_file_of_unigram_kind():
     ids, _ = codec.encode(pa.array(["ab a", "aé"]))
     assert ids[0].tolist() == [2, 1, 3] and codec.decode(ids) == [b"ab a", "aé".encode()]
     assert codec.decode([ids[1]])[0].decode() == "aé"
+
+
+def test_pages_without_containers_and_unclosed_controls():
+    import time
+
+    extracted = extract.default_model().extract
+    assert extracted("<p>One<p>Two") == "One\nTwo"
+    assert extracted("<html><body><p>First one here.</p><p>Then a second.</p></body></html>") == "First one here.\nThen a second."
+    assert extracted("<p>Before <button>Go</button> after.</p><button>x<p>More text here.</p>") == "Before after.\nMore text here."
+    assert extracted("<select><option>A<option>B</select><p>Text stays here, it is long.</p>") == "Text stays here, it is long."
+    start = time.perf_counter()
+    for part in ("<option>a", "<button>", "<select>", "<svg>", "<object>x", "<p><option>b"):
+        assert extracted(part * 30_000 + "<p>The last words of the page.</p>").endswith("The last words of the page.")
+    assert time.perf_counter() - start < 20  # each was minutes if every tag searched the rest of the page
+
+
+def test_extraction_of_foreign_layouts():
+    """Another grammar, with names of parts that the training pages don't have."""
+    r = random.Random(9)
+
+    def line(n):
+        return prose(r, "aeiourstlnmdvc", n).capitalize() + "."
+
+    right = total = 0
+    for k in range(60):
+        body = [line(r.randint(12, 60)) for _ in range(r.randint(3, 8))]
+        menu = "".join(f"<li><a href=/{i}>{line(1)[:-1]}</a></li>" for i in range(6))
+        around = [f"<nav class=menue><ul>{menu}</ul></nav>", f"<aside class=randspalte><ul>{menu}</ul></aside>", f"<footer class=fusszeile><a href=/i>{line(1)}</a> {line(4)}</footer>"]
+        tag, name = r.choice([("article", "beitrag"), ("main", "contenu"), ("article", "noticia"), ("main", "")])
+        html = f"<html><body>{around[0]}<div class=seite><{tag} class={name or 'x'}><h1>{line(6)}</h1>" + "".join(f"<p>{t}</p>" for t in body) + f"</{tag}>{around[1] * (k % 2)}</div>{around[2]}</body></html>"
+        got = extract.default_model().extract(html).split("\n")
+        right += sum(t in got for t in body) + (len(got) <= len(body) + 1)
+        total += len(body) + 1
+    assert right >= 0.95 * total
