@@ -69,10 +69,18 @@ class CutTable:
         self.long: dict[bytes, tuple[np.ndarray, bool]] = {}
 
     def _forget(self) -> None:
-        self.hashes, self.words = np.zeros(0, np.uint64), np.zeros((0, 3), np.uint64)  # sorted by hash
-        self.first, self.length, self.odd = np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, bool)
+        self.hashes, self.slot = np.zeros(0, np.uint64), np.zeros(0, np.int64)  # sorted by hash, and where each stands below
+        self.words = np.zeros((1 << 12, 3), np.uint64)
+        self.first, self.length, self.odd = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64), np.zeros(1 << 12, bool)
         self.flat, self.used = np.zeros(1 << 16, self.kind), 0
 
+    def _room(self, name: str, need: int) -> None:
+        now = getattr(self, name)
+        if need > len(now):
+            more = np.zeros((max(need, 2 * len(now)), *now.shape[1:]), now.dtype)
+            more[: len(now)] = now
+            setattr(self, name, more)
+
     def _slots(self, h: np.ndarray, words: np.ndarray) -> np.ndarray:
         """Places in the table of sorted different hashes."""
         if len(self.hashes) > self.most:
@@ -83,21 +91,25 @@ class CutTable:
         there[inside] = self.hashes[place[inside]] == h[inside]
         new = np.flatnonzero(~there)
         if not len(new):
-            return place
+            return self.slot[place]
         raw = words[new].tobytes()
         got, odd = self.learn([raw[24 * k : 24 * k + raw[24 * k + 23]] for k in range(len(new))])
         length = np.array([len(g) for g in got], np.int64)
+        at, end = len(self.hashes), len(self.hashes) + len(new)
         need = self.used + int(length.sum())
-        if need > len(self.flat):
-            self.flat = np.concatenate([self.flat, np.zeros(max(need, len(self.flat)), self.kind)])
+        for name in ("words", "first", "length", "odd"):
+            self._room(name, end)
+        self._room("flat", need)
         self.flat[self.used : need] = np.concatenate(got)
-        first = self.used + np.cumsum(length) - length
+        self.words[at:end], self.length[at:end], self.odd[at:end] = words[new], length, odd
+        self.first[at:end] = self.used + np.cumsum(length) - length
         self.used = need
+        out = np.empty(len(h), np.int64)
+        old = np.flatnonzero(there)
+        out[old], out[new] = self.slot[place[old]], np.arange(at, end)
         where = place[new]
-        self.hashes, self.words = np.insert(self.hashes, where, h[new]), np.insert(self.words, where, words[new], axis=0)
-        self.first, self.length = np.insert(self.first, where, first), np.insert(self.length, where, length)
-        self.odd = np.insert(self.odd, where, odd)
-        return np.searchsorted(self.hashes, h)
+        self.hashes, self.slot = np.insert(self.hashes, where, h[new]), np.insert(self.slot, where, out[new])
+        return out
 
     def _others(self, cuts: list[bytes]) -> list[tuple[np.ndarray, bool]]:
         """Ids of cuts by their bytes."""
@@ -118,22 +130,29 @@ class CutTable:
         plain = bool(short.all())
         words = packed(data, at, size) if plain else packed(data, at[short], size[short])
         different, where, inverse = np.unique(places(words), return_index=True, return_inverse=True)
-        slot = self._slots(different, words[where])[inverse]
-        same = (self.words[slot] == words).all(1)  # two cuts of one hash, or one that the table knows otherwise
-        if plain and same.all():
-            position, close = ragged(self.first[slot], self.length[slot].astype(np.int64))
+        first_of = words[where]
+        slots = self._slots(different, first_of)
+        slot = slots[inverse]
+        # cuts of a hash that the table, or the batch's first cut, knows for another cut
+        wrong = (self.words[slots] != first_of).any(1)
+        unlike = first_of[inverse]
+        unlike ^= words
+        unlike[:, 0] |= unlike[:, 1]
+        unlike[:, 0] |= unlike[:, 2]
+        other = np.flatnonzero(unlike[:, 0] if not wrong.any() else (unlike[:, 0] != 0) | wrong[inverse])
+        if plain and not len(other):
+            position, close = ragged(self.first[slot], self.length[slot])
             return self.flat[position], close, self.odd[slot]
-        rest = ~short
-        rest[np.flatnonzero(short)[~same]] = True
-        others = np.flatnonzero(rest)
-        found = self._others([data[s:e].tobytes() for s, e in zip(at[others].tolist(), ends[others].tolist(), strict=True)])
-        # the others' ids follow the table's, and all are read in order
-        flat = np.concatenate([self.flat[: self.used], *(ids for ids, _ in found)])
+        known = np.arange(len(at)) if plain else np.flatnonzero(short)
         first, length, odd = np.zeros(len(at), np.int64), np.zeros(len(at), np.int64), np.zeros(len(at), bool)
-        known = np.flatnonzero(~rest)
-        first[known], length[known], odd[known] = self.first[slot[same]], self.length[slot[same]], self.odd[slot[same]]
-        length[others] = [len(ids) for ids, _ in found]
-        first[others] = self.used + np.cumsum(length[others]) - length[others]
-        odd[others] = [o for _, o in found]
+        first[known], length[known], odd[known] = self.first[slot], self.length[slot], self.odd[slot]
+        others = np.concatenate([np.flatnonzero(~short), known[other]])
+        found = self._others([data[s:e].tobytes() for s, e in zip(at[others].tolist(), ends[others].tolist(), strict=True)])
+        # the others' ids stand behind the table's for this once
+        size = np.array([len(ids) for ids, _ in found], np.int64)
+        end = self.used + int(size.sum())
+        self._room("flat", end)
+        self.flat[self.used : end] = np.concatenate([ids for ids, _ in found])
+        first[others], length[others], odd[others] = self.used + np.cumsum(size) - size, size, [o for _, o in found]
         position, close = ragged(first, length)
-        return flat[position], close, odd
+        return self.flat[position], close, odd

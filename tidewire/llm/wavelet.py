@@ -92,7 +92,7 @@ class Encoder:
     def encode(self, column: pa.Array) -> list[np.ndarray]:
         """Ids of each text."""
         out: list[np.ndarray] = []
-        for a, b, data, offsets in text_chunks(column):
+        for a, b, data, offsets in text_chunks(column, 1 << 21):
             out += self._chunk(data, offsets) if self.plain else self._whole(data, offsets, range(b - a))
         return out
 
