@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import os
 from collections.abc import Callable
+from typing import NamedTuple
 
 import numpy as np
 
@@ -28,12 +29,12 @@ def ragged(first: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return np.repeat(first - (close - length), length) + np.arange(int(close[-1]) if len(close) else 0), close
 
 
-def split_at(ids: np.ndarray, starts: np.ndarray, count: int) -> list[np.ndarray]:
-    """``ids`` cut before each one that ``starts`` a cut."""
+def split_at(ids: np.ndarray, starts: np.ndarray, count: int) -> np.ndarray:
+    """Where the cuts of ``ids`` begin: at each id that ``starts`` one."""
     at = np.flatnonzero(starts[ids])
     if len(at) != count or (count and at[0]):
         raise ValueError("cuts and ids don't fit")
-    return [ids[s:e] for s, e in zip(at.tolist(), np.append(at[1:], len(ids)).tolist(), strict=True)]
+    return at
 
 
 #: For each length, which bytes of the three words belong to the cut.
@@ -56,7 +57,25 @@ def places(words: np.ndarray) -> np.ndarray:
     return h * np.uint64(0x94D049BB133111EB)
 
 
-Learn = Callable[[list[bytes]], tuple[list[np.ndarray], list[bool]]]
+class Learned(NamedTuple):
+    """Ids of cuts: those of cut k are flat[first[k] : first[k] + length[k]]."""
+
+    flat: np.ndarray
+    first: np.ndarray
+    length: np.ndarray
+
+    @classmethod
+    def of(cls, got: list[np.ndarray] | Learned) -> Learned:
+        if isinstance(got, Learned):
+            return got
+        length = np.array([len(g) for g in got], np.int64)
+        return cls(np.concatenate(got), np.cumsum(length) - length, length)
+
+    def each(self) -> list[np.ndarray]:
+        return [self.flat[f : f + n] for f, n in zip(self.first.tolist(), self.length.tolist(), strict=True)]
+
+
+Learn = Callable[[list[bytes]], tuple[list[np.ndarray] | Learned, list[bool]]]
 
 
 class CutTable:
@@ -94,15 +113,15 @@ class CutTable:
             return self.slot[place]
         raw = words[new].tobytes()
         got, odd = self.learn([raw[24 * k : 24 * k + raw[24 * k + 23]] for k in range(len(new))])
-        length = np.array([len(g) for g in got], np.int64)
+        got = Learned.of(got)
         at, end = len(self.hashes), len(self.hashes) + len(new)
-        need = self.used + int(length.sum())
+        need = self.used + len(got.flat)
         for name in ("words", "first", "length", "odd"):
             self._room(name, end)
         self._room("flat", need)
-        self.flat[self.used : need] = np.concatenate(got)
-        self.words[at:end], self.length[at:end], self.odd[at:end] = words[new], length, odd
-        self.first[at:end] = self.used + np.cumsum(length) - length
+        self.flat[self.used : need] = got.flat
+        self.words[at:end], self.length[at:end], self.odd[at:end] = words[new], got.length, odd
+        self.first[at:end] = self.used + got.first
         self.used = need
         out = np.empty(len(h), np.int64)
         old = np.flatnonzero(there)
@@ -116,7 +135,10 @@ class CutTable:
         if len(self.long) > self.most // 8:
             self.long = {}
         new = [c for c in dict.fromkeys(cuts) if c not in self.long]
-        known = dict(zip(new, zip(*self.learn(new), strict=True), strict=True)) if new else {}
+        known: dict[bytes, tuple[np.ndarray, bool]] = {}
+        if new:
+            got, odd = self.learn(new)
+            known = dict(zip(new, zip((ids.copy() for ids in Learned.of(got).each()), odd, strict=True), strict=True))
         out = [known.get(c) or self.long[c] for c in cuts]
         self.long.update((c, v) for c, v in known.items() if len(c) <= LONGEST)
         return out

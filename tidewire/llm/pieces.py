@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .cuts import CutTable, ragged, split_at, threads
+from .cuts import CutTable, Learned, ragged, split_at, threads
 from .shared import lean, plain_texts, table, text_chunks
 
 MARK = "▁"
@@ -172,20 +172,22 @@ class Codec:
         self.length = np.array([len(t) for t in texts], np.int64)
         self.first, self.flat = np.cumsum(self.length) - self.length, np.frombuffer(b"".join(texts), np.uint8)
 
-    def _learn(self, words: list[bytes]) -> tuple[list[np.ndarray], list[bool]]:
+    def _learn(self, words: list[bytes]) -> tuple[Learned, list[bool]]:
         """Ids of words without their marker, and where the judge's differ."""
-        out: list[np.ndarray] = []
+        flat, first, held = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)], 0
         odd: list[bool] = []
         groups = [[w.decode() for w in words[a : a + GROUP]] for a in range(0, len(words), GROUP)]
         for group, e in zip(groups, self.chunk.encode_batch_fast([MARK + MARK.join(g) for g in groups], add_special_tokens=False), strict=True):
             ids = np.array(e.ids, np.uint32)
-            got = split_at(ids, self.starts, len(group))  # each word begins at the one id that begins with the marker
-            out += got
-            if self.judge is None or self.judge.encode(" ".join(group)) == ids.tolist():
+            at = split_at(ids, self.starts, len(group))  # each word begins at the one id that begins with the marker
+            flat.append(ids), first.append(held + at)
+            held += len(ids)
+            if self.judge is None or self.judge.encode(" ".join(group)) == e.ids:
                 odd += [False] * len(group)
             else:
-                odd += [self.judge.encode(w) != g.tolist() for w, g in zip(group, got, strict=True)]
-        return out, odd
+                odd += [self.judge.encode(w) != ids[s:t].tolist() for w, s, t in zip(group, at, [*at[1:], len(ids)], strict=True)]
+        begins = np.concatenate(first)
+        return Learned(np.concatenate(flat), begins, np.diff(begins, append=held)), odd
 
     def _whole(self, texts: list[str]) -> tuple[list[np.ndarray], list[bool]]:
         ids = [np.array(e.ids, np.uint32) for e in self.whole.encode_batch_fast(texts, add_special_tokens=False)]

@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .cuts import CutTable, split_at, threads
+from .cuts import CutTable, Learned, split_at, threads
 from .shared import cut, lean, new_path, store_of, table, text_chunks
 
 BLOCK_BITS = 1 << 18
@@ -76,23 +76,30 @@ class Encoder:
             self.starts[i] = token[:1] == "Ġ"
         self.table = CutTable(self._learn, self.kind)
 
-    def _learn(self, cuts: list[bytes]) -> tuple[list[np.ndarray], list[bool]]:
-        out: list[np.ndarray] = [np.zeros(0, self.kind)] * len(cuts)
+    def _learn(self, cuts: list[bytes]) -> tuple[Learned, list[bool]]:
+        flat, held = [np.zeros(0, self.kind)], 0
+        first, length = np.zeros(len(cuts), np.int64), np.zeros(len(cuts), np.int64)
         # a cut that begins with a space has no other: it begins at the one id that begins with a space
         spaced = [k for k, c in enumerate(cuts) if c[0] == 32]
         groups = [spaced[a : a + 2048] for a in range(0, len(spaced), 2048)]
-        for group, e in zip(groups, self.tokenizer.encode_batch_fast([b"".join(cuts[k] for k in g).decode() for g in groups], add_special_tokens=False), strict=True):
-            for k, ids in zip(group, split_at(np.array(e.ids, self.kind), self.starts, len(group)), strict=True):
-                out[k] = ids
+        for group, e in zip(groups, self.tokenizer.encode_batch_fast([b"".join([cuts[k] for k in g]).decode() for g in groups], add_special_tokens=False), strict=True):
+            ids = np.array(e.ids, self.kind)
+            at = split_at(ids, self.starts, len(group))
+            first[group], length[group] = held + at, np.diff(at, append=len(ids))
+            flat.append(ids)
+            held += len(ids)
         bare = [k for k, c in enumerate(cuts) if c[0] != 32]
-        for k, e in zip(bare, self.tokenizer.encode_batch_fast([cuts[k].decode() for k in bare], add_special_tokens=False), strict=True):
-            out[k] = np.array(e.ids, self.kind)
-        return out, [False] * len(out)
+        each = [e.ids for e in self.tokenizer.encode_batch_fast([cuts[k].decode() for k in bare], add_special_tokens=False)]
+        if bare:
+            size = np.array([len(ids) for ids in each], np.int64)
+            first[bare], length[bare] = held + np.cumsum(size) - size, size
+            flat.append(np.array([i for ids in each for i in ids], self.kind))
+        return Learned(np.concatenate(flat), first, length), [False] * len(cuts)
 
     def encode(self, column: pa.Array) -> list[np.ndarray]:
         """Ids of each text."""
         out: list[np.ndarray] = []
-        for a, b, data, offsets in text_chunks(column, 1 << 21):
+        for a, b, data, offsets in text_chunks(column):
             out += self._chunk(data, offsets) if self.plain else self._whole(data, offsets, range(b - a))
         return out
 
