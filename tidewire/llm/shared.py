@@ -27,6 +27,8 @@ def shared_dir(spark: SparkSession) -> str:
     one machine) a temporary folder is taken, one for each application."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not getattr(spark.sparkContext, "master", "local").startswith("local"):
+            raise ValueError("spark.checkpoint.dir is not set: executors share no folder")
         app = spark.sparkContext.applicationId
         if app not in _own:
             _own[app] = "file://" + tempfile.mkdtemp(prefix="tidewire-")
