@@ -82,8 +82,8 @@ class CutTable:
     """``learn`` gets cuts as bytes and gives the ids of each, and whether it is odd. A table of over ``most`` cuts
     (some 100 bytes each) is begun anew, which changes no result."""
 
-    def __init__(self, learn: Learn, kind: type, most: int = 1_500_000) -> None:
-        self.learn, self.kind, self.most = learn, kind, most
+    def __init__(self, learn: Learn, kind: type, most: int = 500_000, most_long: int = 62_500) -> None:
+        self.learn, self.kind, self.most, self.most_long = learn, kind, most, most_long
         self._forget()
         self.long: dict[bytes, tuple[np.ndarray, bool]] = {}
 
@@ -132,7 +132,7 @@ class CutTable:
 
     def _others(self, cuts: list[bytes]) -> list[tuple[np.ndarray, bool]]:
         """Ids of cuts by their bytes."""
-        if len(self.long) > self.most // 24:
+        if len(self.long) > self.most_long:
             self.long = {}
         new = [c for c in dict.fromkeys(cuts) if c not in self.long]
         known: dict[bytes, tuple[np.ndarray, bool]] = {}

@@ -74,7 +74,7 @@ class Encoder:
         self.starts = np.zeros(self.size, bool)  # ids whose bytes begin with a space
         for token, i in self.tokenizer.get_vocab().items():
             self.starts[i] = token[:1] == "Ġ"
-        self.table = CutTable(self._learn, self.kind)
+        self.table = CutTable(self._learn, self.kind, most=1_500_000)
 
     def _learn(self, cuts: list[bytes]) -> tuple[Learned, list[bool]]:
         flat, held = [np.zeros(0, self.kind)], 0
