@@ -17,9 +17,10 @@ from ..functions.detect import PATTERNS, alternation, detect, each_pattern
 from ..functions.lexicon import Lexicon
 from ..functions.text import ACCENTED, BASES, ENTITIES, clean_text, fold_ascii, iso_date, parse_pubdate, preview, strip_html, strip_title
 from ..operators import clusters, history, search, serving, similarity, topics, vectorize
-from ..schema import articles_from_documents, conform, with_doc_idx
+from ..schema import ARTICLES, articles_from_documents, conform, with_doc_idx
 from ..sources.feeds import collect_landed
 from ..sources.scratch import scratch, written
+from ..sources.tables import load
 from ..streaming.ingest import upsert_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -495,10 +496,11 @@ def _land(spark: SparkSession, sf_dir: str, name: str) -> str:
     """Pages as a landed feed."""
     folder = scratch(spark, name)
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
-    title = F.replace(F.replace(F.regexp_extract("html", "<title>([^<]*)</title>", 1), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
-    url = F.replace("url", F.lit("&"), F.lit("&amp;"))
+    title = F.replace(F.replace(F.coalesce(F.regexp_extract("html", "<title>([^<]*)</title>", 1), F.lit("")), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
+    url = F.replace(F.coalesce("url", F.lit("")), F.lit("&"), F.lit("&amp;"))
     date = F.lit("<pubDate>Tue, 30 Sep 2025 16:16:34 -0600</pubDate></item>")
-    item = F.concat(F.lit("<item><title>"), title, F.lit("</title><description>"), url, F.lit("</description><content:encoded><![CDATA["), F.col("html"), F.lit("]]></content:encoded><link>"), url, F.lit("</link>"), date)
+    html = F.coalesce("html", F.lit(""))
+    item = F.concat(F.lit("<item><title>"), title, F.lit("</title><description>"), url, F.lit("</description><content:encoded><![CDATA["), html, F.lit("]]></content:encoded><link>"), url, F.lit("</link>"), date)
 
     def document(batches):
         yield pa.RecordBatch.from_pydict({"value": ['<?xml version="1.0" encoding="UTF-8"?><rss xmlns:content="http://purl.org/rss/1.0/modules/content/"><channel>']})
@@ -520,7 +522,8 @@ def stream_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     upsert_stream(spark, folder, path, scratch(spark, "stream-state")).awaitTermination()
     # a second delivery of the same items leaves one row of each
     upsert_stream(spark, folder, path, scratch(spark, "stream-state")).awaitTermination()
-    return spark.read.parquet(path).select("titulo", "contenido").distinct()
+    stored = load(spark, path)  # none, if nothing has landed
+    return (spark.createDataFrame([], ARTICLES) if stored is None else stored).select("titulo", "contenido").distinct()
 
 
 @query("SELECT doc_id AS doc_idx, CASE doc_id % 3 WHEN 0 THEN '2025-09-30T16:16:34-06:00' WHEN 1 THEN '2025-10-01T01:02:03+00:00' ELSE '2024-02-29T23:00:00+05:30' END AS fecha FROM documents")
