@@ -13,9 +13,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.detect import PATTERNS, alternation, detect, each_pattern
+from ..functions.detect import detect, each_pattern
 from ..functions.lexicon import Lexicon
-from ..functions.text import ACCENTED, BASES, ENTITIES, clean_text, fold_ascii, iso_date, parse_pubdate, preview, strip_html, strip_title
+from ..functions.text import clean_text, fold_ascii, iso_date, parse_pubdate, preview, strip_html, strip_title
 from ..operators import clusters, history, search, serving, similarity, topics, vectorize
 from ..schema import ARTICLES, articles_from_documents, conform, with_doc_idx
 from ..sources.feeds import collect_landed
@@ -59,6 +59,26 @@ def lexicon() -> Lexicon:
 
 
 # --- SQL shared by the oracles -------------------------------------------------------------------------------------
+# It states its own constants and takes none of the engine's, so that a wrong one there shows.
+
+#: Letters that are a base letter and a mark.
+SQL_MARKED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿāăąćĉċčďēĕėęěĝğġģĥĩīĭįĵķĺļľńņňōŏőŕŗřśŝşšţťũūŭůűųŵŷźżž"
+#: References and their characters, the ampersand last.
+SQL_REFERENCES = [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", "\u00a0"), ("&copy;", "©"), ("&middot;", "·"), ("&ndash;", "–"), ("&mdash;", "—"), ("&hellip;", "…"), ("&amp;", "&")]
+#: The patterns of a mention, in their order.
+SQL_PATTERNS = [
+    r"\bhij[oa]s?\b",
+    r"\bmenor(es)?(\s+de\s+edad)?\b",
+    r"\bniñ?[oa]s?\b",
+    r"\badolescentes?\b",
+    r"\bhuerfan[oa]s?\b",
+    r"\binfant(e|il|es)\b",
+    r"\bbebes?\b",
+    r"\breci[e|]n\s+nacid[oa]s?\b",
+    r"\bnna\b",
+    r"\b[0-9]{1,2}\s*(anos|mes|meses)\b",
+    r"\bde\s+[0-9]{1,2}\s*(anos|mes|meses)\b",
+]
 
 
 def sql_text(s: str) -> str:
@@ -70,20 +90,21 @@ def sql_fold(c: str) -> str:
 
 
 def sql_clean(c: str) -> str:
-    marked = f"translate(regexp_replace(lower({c}), '([{ACCENTED}])', '\\1 ', 'g'), {sql_text(ACCENTED)}, {sql_text(BASES)})"
-    return f"trim(regexp_replace(regexp_replace({marked}, '[^\\p{{L}}\\p{{N}}_\\s]', ' ', 'g'), '\\s+', ' ', 'g'))"
+    marked = f"strip_accents(regexp_replace(lower({c}), '([{SQL_MARKED}])', '\\1 ', 'g'))"
+    return f"trim(regexp_replace({marked}, '[^\\p{{L}}\\p{{N}}_]+', ' ', 'g'))"
 
 
 def sql_strip(c: str) -> str:
-    nodes = "(?is)<!--.*?-->|<script\\b[^>]*>.*?</script\\s*>|<style\\b[^>]*>.*?</style\\s*>|<[!?/a-z][^>]*>"
-    out = f"regexp_replace(regexp_replace({c}, {sql_text(nodes)}, chr(1), 'g'), '[ \\t\\n\\x0B\\f\\r]*\\x01[ \\t\\n\\x0B\\f\\r\\x01]*', ' ', 'g')"
+    out = f"regexp_replace({c}, '(?is)<(script|style)\\b[^>]*>.*?</(script|style)\\s*>', '<br>', 'g')"
+    out = f"regexp_replace({out}, '(?is)<!--.*?-->', '<br>', 'g')"
+    out = f"regexp_replace({out}, '\\s*<[!?/a-zA-Z][^>]*>(\\s|<[!?/a-zA-Z][^>]*>)*', ' ', 'g')"
     out = f"regexp_replace({out}, '^\\s+|\\s+$', '', 'g')"
-    for name, char in ENTITIES.items():
+    for name, char in SQL_REFERENCES:
         out = f"replace({out}, {sql_text(name)}, {sql_text(char)})"
     return out
 
 
-SQL_FLAG = f"CASE WHEN regexp_matches({sql_fold('text')}, {sql_text(alternation(PATTERNS))}) THEN 'Si' ELSE 'No' END"
+SQL_FLAG = f"CASE WHEN {' OR '.join(f'regexp_matches({sql_fold("text")}, {sql_text(p)})' for p in SQL_PATTERNS)} THEN 'Si' ELSE 'No' END"
 SQL_PREVIEW = "CASE WHEN length(text) > 200 THEN concat(substring(text, 1, 200), '...') ELSE text END"
 SQL_EDGES = (
     "edges(term, synonym) AS (SELECT DISTINCT a.t, b.t FROM (VALUES "
@@ -123,7 +144,7 @@ def detect_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flagged(spark, sf_dir).groupBy("fuente").agg(F.count("*").alias("total"), F.count_if(F.col("menores_identificados") == "Si").alias("flagged"))
 
 
-@query(f"SELECT doc_id AS doc_idx, {', '.join(f'regexp_matches(f, {sql_text("(?i)" + p)}) AS p{k}' for k, p in enumerate(PATTERNS))} FROM (SELECT doc_id, {sql_fold('text')} AS f FROM documents)")
+@query(f"SELECT doc_id AS doc_idx, {', '.join(f'regexp_matches(f, {sql_text(p)}) AS p{k}' for k, p in enumerate(SQL_PATTERNS))} FROM (SELECT doc_id, {sql_fold('text')} AS f FROM documents)")
 def detect_each_pattern(spark: SparkSession, sf_dir: str) -> DataFrame:
     return articles(spark, sf_dir).select("doc_idx", *each_pattern("contenido"))
 
