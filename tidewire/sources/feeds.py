@@ -43,15 +43,15 @@ def to_articles(items: DataFrame, exact: bool = True) -> DataFrame:
     )
 
 
-def collect_landed(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """All feeds' articles, numbered by feed, then item."""
+def collect_landed(spark: SparkSession, paths: list[str], exact: bool = True) -> DataFrame:
+    """All feeds' articles, numbered by feed, then item. ``exact`` as in strip_html."""
     frames = [read_items(spark, p).withColumn("feed_order", F.lit(k)) for k, p in enumerate(paths)]
     if not frames:
         return conform(spark.createDataFrame([], ITEM)).withColumn("doc_idx", F.lit(None).cast("long")).limit(0)
     out = frames[0]
     for more in frames[1:]:
         out = out.unionByName(more)
-    return conform(with_doc_idx(to_articles(written(out, "items")), "feed_order", "position"))
+    return conform(with_doc_idx(to_articles(written(out, "items"), exact), "feed_order", "position"))
 
 
 # --- over HTTP -----------------------------------------------------------------------------------------------------
