@@ -33,10 +33,10 @@ def merge(batch: DataFrame, path: str, *order: str) -> None:
     publish(with_doc_idx(merged, "__order").drop("__order"), path)
 
 
-def upsert_stream(spark: SparkSession, folder: str, path: str, checkpoint: str, every: str | None = None, files_per_trigger: int | None = None) -> StreamingQuery:
-    """All that has landed so far (the default), or, with ``every`` such as '6 hours', on and on."""
+def upsert_stream(spark: SparkSession, folder: str, path: str, checkpoint: str, every: str | None = None, files_per_trigger: int | None = None, exact: bool = True) -> StreamingQuery:
+    """All that has landed so far (the default), or, with ``every`` such as '6 hours', on and on. ``exact`` as in strip_html."""
     items = item_stream(spark, folder, files_per_trigger)
-    articles = to_articles(items).withColumn("menores_identificados", detect("contenido"))
+    articles = to_articles(items, exact).withColumn("menores_identificados", detect("contenido"))
 
     def each(batch: DataFrame, _: int) -> None:
         if batch.isEmpty():
