@@ -90,6 +90,18 @@ def test_analysis_without_terms(spark):
     assert (row["most_similar_doc_idx"], row["max_similarity"], row["topic_id"]) == (-1, 0.0, None)
 
 
+def test_an_analysis_that_fails_has_no_result(spark, monkeypatch):
+    """A failed step shows; what was not clustered has no cluster, though the articles came with cluster 0."""
+    docs = spark.createDataFrame([(i, f"red{i % 2} blue{i % 2}\ngreen", "s") for i in range(4)], "doc_id long, text string, source string")
+    for part in (topics, clusters):
+        with monkeypatch.context() as m:
+            m.setattr(part, "fit", lambda *a, **k: 1 / 0)
+            with pytest.raises(ZeroDivisionError):
+                analyze(articles_from_documents(docs), Config(num_topics=2, num_clusters=2, inits=1))
+    row = analyze(articles_from_documents(docs.limit(1))).table.first()
+    assert (row["cluster"], row["topic_id"]) == (None, None)
+
+
 def test_service(spark, data, tmp_path):
     service = Service(spark, f"file://{tmp_path}/t.parquet")
     with pytest.raises(NoData):
